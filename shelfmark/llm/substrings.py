@@ -38,7 +38,8 @@ SIDE = LENGTH - Q  # bytes on either side of a sampled bucket
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * _ODD)
 _NONE = np.uint64(2**64 - 1)
-SLICE = 2 << 20
+#: Bytes that are refined at once: the buckets of all lengths stay in a core's cache.
+SLICE = 256 << 10
 _NAMES = np.uint64((1 << 40) - 1)
 
 
@@ -81,8 +82,7 @@ def _sliding(f: Callable, h: np.ndarray, w: int) -> np.ndarray:
     return f(h[: len(h) - (w - k)], h[w - k :]) if k < w else h
 
 
-def sampled(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """part, offset and 20-byte bucket of the positions that are least in some window of a part."""
+def _sampled(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = np.array([len(x) for x in parts], np.int64)
     buf = np.frombuffer(b"".join(parts), np.uint8)
     w = SIDE + 1
@@ -100,6 +100,18 @@ def sampled(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return part[at], at - (end - size)[part[at]], h[at]
 
 
+def sampled(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """part, offset and 20-byte bucket of the positions that are least in some window of a part."""
+    out, at, size = [], 0, 0
+    for i, x in enumerate(parts):
+        size += len(x)
+        if size >= SLICE or i == len(parts) - 1:
+            p, o, h = _sampled(parts[at : i + 1])
+            out.append((p + at, o, h))
+            at, size = i + 1, 0
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else _sampled([])
+
+
 def slices(raw: bytes) -> Iterator[tuple[int, bytes]]:
     """Long texts in overlapping slices that hold every window once at least."""
     for s in range(0, max(1, len(raw) - LENGTH + 1), SLICE):
@@ -217,7 +229,10 @@ def _repeat_step(chunks: int):
 
 def _settled(h: np.ndarray, doc: np.ndarray, at: np.ndarray, la: np.ndarray, ra: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by class and then document; True at the first of each class."""
-    whole = refined(ctx.ravel(), [SIDE + LENGTH])[SIDE + LENGTH][:: SIDE + LENGTH] if len(h) else np.zeros(0, np.uint64)
+    width = SIDE + LENGTH
+    whole = np.empty(len(h), np.uint64)
+    for a in range(0, len(h), 2048):
+        whole[a : a + 2048] = refined(ctx[a : a + 2048].ravel(), [width])[width][::width]
     whole = _join(whole ^ h, la.astype(np.uint64) * np.uint64(64) + ra)
     order = np.lexsort((at, doc, whole))
     w = whole[order]
@@ -239,7 +254,7 @@ def _later(order: np.ndarray, first: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return doc[order] > doc[order][start]
 
 
-def _around_step(buckets: int, chunks: int, most: int = 100_000):
+def _around_step(buckets: int, chunks: int, most: int = 50_000):
     """Documents with their repeating buckets to the surroundings, dealt by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,12 +346,12 @@ def _window_step(chunks: int):
             if len(heads):
                 ok = np.empty((len(heads), SIDE + 1), bool)
                 names = np.empty((len(heads), SIDE + 1), np.uint64)
-                for a in range(0, len(heads), 4096):
-                    some = heads[a : a + 4096]
+                for a in range(0, len(heads), 2048):
+                    some = heads[a : a + 2048]
                     flat = refined(ctx[some].ravel(), [LENGTH])[LENGTH]
                     pos = np.arange(len(some))[:, None] * (SIDE + LENGTH) + SIDE - _WINDOWS[None, :]
-                    names[a : a + 4096] = _join(flat[pos] ^ h[some][:, None], np.broadcast_to(_WINDOWS.astype(np.uint64), pos.shape))
-                    ok[a : a + 4096] = _valid(la[some], ra[some])
+                    names[a : a + 2048] = _join(flat[pos] ^ h[some][:, None], np.broadcast_to(_WINDOWS.astype(np.uint64), pos.shape))
+                    ok[a : a + 2048] = _valid(la[some], ra[some])
                 row, col = np.nonzero(ok)
                 name, d = names[row, col], doc[heads][row]
                 o = np.lexsort((d, name))
