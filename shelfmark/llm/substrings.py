@@ -142,9 +142,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _dealt(slot: np.ndarray, kind: int, columns: list[np.ndarray]) -> list[tuple]:
     """A packed row for each slot."""
+    if not len(slot):
+        return []
     order = np.argsort(slot, kind="stable")
     slot = slot[order]
-    cut = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, int)
+    cut = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
     columns = [c[order] for c in columns]
     return [(int(slot[a]), kind, None, int(b - a), _blob(*(c[a:b] for c in columns))) for a, b in zip(cut, np.append(cut[1:], len(slot)), strict=True)]
 
