@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -119,7 +120,7 @@ def slices(raw: bytes) -> Iterator[tuple[int, bytes]]:
 
 
 def _blob(*columns: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(1).compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
+    return zstandard.ZstdCompressor(3).compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
 
 
 def _unblob(data: bytes, n: int, kinds: tuple) -> list[np.ndarray]:
@@ -256,7 +257,7 @@ def _later(order: np.ndarray, first: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return doc[order] > doc[order][start]
 
 
-def _around_step(buckets: int, chunks: int, most: int = 50_000):
+def _around_step(buckets: int, chunks: int, most: int = 100_000):
     """Documents with their repeating buckets to the surroundings, dealt by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,11 +443,13 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = 4 << 20) -> DataFrame:
 
     names = raw.filter("doc_id is not null").mapInArrow(_sample_step(buckets), ROW)
     repeats = by_slot(names).mapInArrow(_repeat_step(chunks), ROW)
-    around = by_slot(repeats.unionByName(copies).unionByName(texts)).mapInArrow(_around_step(buckets, chunks), ROW)
+    around = by_slot(repeats.unionByName(copies).unionByName(texts)).mapInArrow(_around_step(-(-buckets // 4), chunks), ROW)  # fewer and larger blocks pack better
     masks = stage(by_slot(around).mapInArrow(_window_step(chunks), ROW), "masks")
     del names, repeats, around
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the finished steps
+    for _ in range(3):  # Spark deletes the shuffle files of finished steps once nothing refers to them
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
     shorter = by_slot(masks.unionByName(copies).unionByName(texts)).mapInArrow(_cut_step, "_doc long, n_removed long, n_spans long, kept_sha256 string")
     out = base.join(shorter, base["doc_id"] == shorter["_doc"], "left")
     empty = hashlib.sha256(b"").hexdigest()
