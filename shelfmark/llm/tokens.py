@@ -1,27 +1,36 @@
 """Token ids of whole texts, with a bounded memory of the units already encoded.
 
 Both vocabularies in use never join characters across the start of a blank run, so a text may be
-cut before every space or line feed and the ids of the pieces joined. Texts with any other blank, or
+cut before every space or line feed and the ids of the pieces joined. Where the vocabulary drops blanks
+and lower-cases, pieces are kept in lower case, without blanks, and without a stop or comma that ends a word. Texts with any other blank, or
 with two blanks in a row, go to the tokenizer whole. Pieces repeat far more often than texts do.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 
 _ODD = re.compile("[\t\r\f\v\x00\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]|[ \n][ \n]")
 
 
+#: Letters whose lower case depends on their neighbours or has two letters.
+_CASES = re.compile("[Σİẞŉǰΐΰ]|'")
+_STOPS = re.compile(r"(?<=[a-z])([.,])(?=[ \n]|$)")
+
+
 class UnitTokenizer:
     """ids(texts) gives each text's ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.folds = "Lowercase" in json.dumps(json.loads(self.tok.to_str()).get("normalizer"))
         self.seen: dict[str, bytes] = {}
         self.most = most
 
@@ -38,7 +47,10 @@ class UnitTokenizer:
             elif _ODD.search(t):
                 out.append(self._encode([t])[0])
             else:
-                units = t.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
+                if self.folds and not _CASES.search(t) and (t.isascii() or unicodedata.is_normalized("NFC", t)):
+                    units = _STOPS.sub(r" \1", t.lower()).split()
+                else:
+                    units = t.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
                 seen = self.seen
                 try:
                     out.append(b"".join(map(seen.__getitem__, units)))
