@@ -94,3 +94,26 @@ def test_snapshot(spark, tmp_path):
     applied = spark.createDataFrame([(1, "initial", NOW)], "version int, name string, applied_at timestamp_ntz")
     assert [r["version"] for r in store.migrate(applied, NOW).orderBy("version").collect()] == [1, 2, 3, 4]
     assert store.checksum(applied) == store.checksum(applied.repartition(2))
+
+
+def test_search_end_to_end(spark):
+    from shelfmark.plans.search import State, process_next
+
+    tables = store.empty_tables(spark)
+    topics = catalog.ensure_topics(tables["topics"], spark.createDataFrame([("rust", "Rust")], "slug string, name string"), NOW)
+    state = State(topics, tables["pages"], tables["topic_search_runs"], tables["topic_search_results"])
+
+    class Found:
+        def search(self, query, most):
+            return results(spark, [("Guide", "https://docs.example.org/a/b/c", "learn", 0.5), ("Home", "https://x.example.org/", "s", 0.9)]).drop("topic")
+
+    class Judge:
+        def review(self, topic, asked):
+            return asked.select(F.col("index").alias("review_position"), "index", F.lit(90).alias("score"), F.lit("guide").alias("page_type"), F.lit(True).alias("should_store"), F.lit("ok").alias("reason"))
+
+    after, error = process_next(state, Found(), Judge(), NOW)
+    assert error is None
+    assert [(r["url"], r["reading_order"]) for r in after.pages.collect()] == [("https://docs.example.org/a/b/c", 1)]
+    assert after.results.count() == 2 and after.runs.first()["status"] == "completed" and after.topics.first()["status"] == "active"
+    again, error = process_next(after, Found(), None, NOW)
+    assert error is None and again.runs.count() == 1
