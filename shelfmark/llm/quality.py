@@ -31,6 +31,8 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SHARES = ["word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "punct_share", "distinct_share", "word_punct_share", "n_words_f"]
 _SYMBOLS = [ord(c) for c in "#*$%&|<>"]
 _BLANKS = [32, 9, 10, 11, 12, 13]
+#: Blanks to a space, ASCII punctuation to a stop, all else to a letter.
+_KINDS = bytes(32 if c in _BLANKS else 97 if c >= 128 or chr(c).isalnum() else 46 for c in range(256))
 _PUNCT = [c for c in range(33, 127) if not chr(c).isalnum()]
 
 
@@ -68,7 +70,8 @@ def statistics(text: str | None) -> tuple[list[int], list[float]]:
                 cover[2:] |= twice
                 repeat = int(cover.sum())
     d, c = max(n, 1), max(chars, 1)
-    ends = sum(1 for x in words[:: max(1, n // 200)] if not (x[-1] >= 128 or chr(x[-1]).isalnum())) / max(1, len(words[:: max(1, n // 200)]))
+    kinds = raw.translate(_KINDS)
+    ends = (kinds.count(b". ") + kinds.endswith(b".")) / d
     upper, digit, punct = (int(each[s].sum()) for s in (slice(65, 91), slice(48, 58), _PUNCT))
     return [n, chars, symbols, dup, repeat], [chars / d, symbols / d, dup / max(1, len(lines)), repeat / d, upper / c, digit / c, punct / c, distinct / d, ends, float(n)]
 
