@@ -99,6 +99,37 @@ def test_near_duplicates_against_brute_force(spark, docs, rows):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def edited(words, n):
+    words = list(words)
+    for i in rng.sample(range(len(words)), n):
+        words[i] = rng.choice(VOCAB)
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("weight", [250, 5000, neardup.SLICE])
+def test_links_of_one_region_against_brute_force(spark, weight):
+    """Edits that leave similarities on both sides of 0.75, in slices of all sizes."""
+    bases = [prose(150).split() for _ in range(3)]
+    texts = [edited(bases[i % 3], rng.randint(0, 5)) for i in range(90)] + [" ".join(bases[0] + bases[1])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(neardup.shingles(t).tolist()) for t in texts]
+    near = {(i, j) for i in range(91) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    sigs = neardup.signatures(docs).selectExpr("doc_id", "sig", "n_shingles n")
+    regions = docs.selectExpr("1L key", "0 part", "doc_id")
+    got = neardup.links_between(regions, sigs, spark.createDataFrame([], "node long, root long"), docs, weight=weight)
+    links = {(max(r), min(r)) for r in got.collect()}
+    assert links <= near
+
+    def roots(pairs):
+        root = list(range(91))
+        for i, j in pairs:
+            root = [root[j] if x == root[i] else x for x in root]
+        return {frozenset(i for i in range(91) if root[i] == x) for x in root}
+
+    assert roots(links) == roots(near) and len(roots(near)) > 3
+    assert weight < neardup.SLICE or len(links) < 91
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in neardup.components(links).collect()}
