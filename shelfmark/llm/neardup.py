@@ -4,12 +4,13 @@ Documents with equal shingle sets are one class, represented by the least doc_id
 values; each of 16 trees orders the signatures from another starting place. Documents that share the
 first three values of an order meet; a region with too many members goes deeper, to 6, 12, 24 and 48
 values, until its members are few. Members of a region are compared by signature alone and each
-first keeps its nearest few as candidates, as well as the region's medoid. A region that is still too large is split by a hash,
-with some members repeated in each part as bridges.
+first keeps its nearest few as candidates, as well as the region's medoid. A region that is too large is split by a hash for
+this first look, with some members repeated in each part as bridges.
 
 Candidates are confirmed on the full shingle sets. First the likeliest candidate of each document is
 confirmed and components are formed, then its others between components; then the regions are gone through again, and all candidates
-between two components, near or not, are confirmed in place; a region gives only the links that join
+between two components, near or not, are confirmed in place, whatever the region's size: a large one is dealt into blocks,
+and every block is held against every other, but for two blocks of one component. A region gives only the links that join
 components, fewer than its members. Components come from alternating large-star and small-star
 steps on tables in the shared folder; nothing is collected.
 
@@ -32,7 +33,7 @@ from .common import mix64, parallelism, signed, small_batches, stage
 
 VALUES, TREES, DEPTHS = 64, 21, (3, 6, 12, 24, 48)
 WIDTH = 5
-#: Members of a region that are compared at once, and those repeated in each part of a larger one.
+#: Members of a region that are compared at once (two blocks of half as many in a larger one), and those repeated in each part of a larger one.
 REGION, BRIDGES, NEAREST = 2048, 16, 3
 #: Shingles whose sets are held at once while the candidates of a region are confirmed.
 SLICE = 4_000_000
@@ -102,14 +103,14 @@ def _prefixes(depth: int):
     return run
 
 
-def _agreement(sig: np.ndarray) -> np.ndarray:
-    """How many values agree, for every two signatures of a region."""
-    m = len(sig)
-    if m <= 64:
-        return (sig[:, None] == sig[None]).sum(axis=2, dtype=np.int16)
-    agree = np.zeros((m, m), np.int16)
+def _agreement(sig: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    """How many values agree, for every two signatures of a region, or of one block and another."""
+    other = sig if other is None else other
+    if len(sig) <= 64 and len(other) <= 64:
+        return (sig[:, None] == other[None]).sum(axis=2, dtype=np.int16)
+    agree = np.zeros((len(sig), len(other)), np.int16)
     for j in range(VALUES):
-        agree += sig[:, None, j] == sig[None, :, j]
+        agree += sig[:, None, j] == other[None, :, j]
     return agree
 
 
@@ -159,10 +160,22 @@ def _compare(least: int):
     return run
 
 
-def _across(sig: np.ndarray, roots: np.ndarray, sizes: np.ndarray, least: int, percent: int) -> np.ndarray:
-    """Which members of a region are candidates from different components; sizes alone rule some out."""
-    small, large = np.minimum(sizes[:, None], sizes[None]), np.maximum(sizes[:, None], sizes[None])
-    return (_agreement(sig) >= least) & (roots[:, None] != roots[None]) & (100 * small >= percent * large)
+def _across(sig: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sides: np.ndarray, least: int, percent: int) -> np.ndarray:
+    """Which members are candidates from different components; sizes alone rule some out. Members of
+    sides 0 and 1 are two blocks, held only against each other; side -1 is held against itself."""
+
+    def held(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        small, large = np.minimum(sizes[i, None], sizes[None, j]), np.maximum(sizes[i, None], sizes[None, j])
+        return (_agreement(sig[i], sig[j]) >= least) & (roots[i, None] != roots[None, j]) & (100 * small >= percent * large)
+
+    if sides[0] < 0:
+        every = np.arange(len(sig))
+        return held(every, every)
+    i, j = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+    across = np.zeros((len(sig), len(sig)), bool)
+    across[np.ix_(i, j)] = both = held(i, j)
+    across[np.ix_(j, i)] = both.T
+    return across
 
 
 def _slices(across: np.ndarray, sizes: np.ndarray, weight: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -198,17 +211,17 @@ def _signed(sigs: list[bytes]) -> np.ndarray:
 
 
 def _open(least: int, percent: int, weight: int):
-    """Regions to the members that still have a candidate in another component."""
+    """Regions, or pairs of their blocks, to the members that still have a candidate in another component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (k, p), (docs, roots, ns, sigs) in _grouped(2, batches):
+        for (k, p), (docs, roots, sides, ns, sigs) in _grouped(2, batches):
             if len(set(roots)) < 2:
                 continue
-            d, c, n = (np.array(x, np.int64) for x in (docs, roots, ns))
-            across = _across(_signed(sigs), c, n, least, percent)
+            d, c, s, n = (np.array(x, np.int64) for x in (docs, roots, sides, ns))
+            across = _across(_signed(sigs), c, n, s, least, percent)
             for name, rows in _slices(across, n, weight):
                 m = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, k, np.int64)), pa.array(np.full(m, p, np.int32)), pa.array(np.full(m, name, np.int32)), pa.array(d[rows]), pa.array(c[rows])], ["key", "part", "slice", "doc_id", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, k, np.int64)), pa.array(np.full(m, p, np.int64)), pa.array(np.full(m, name, np.int32)), pa.array(d[rows]), pa.array(c[rows]), pa.array(s[rows])], ["key", "part", "slice", "doc_id", "root", "side"])
 
     return run
 
@@ -219,11 +232,14 @@ def _joining(least: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a text is turned into its set as it comes, so only sets are held
         rows = (pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([shingles(t).tobytes() for t in b.column(b.num_columns - 1).to_pylist()], pa.large_binary())], names=b.schema.names) for b in batches)
-        for _, (docs, roots, sigs, held) in _grouped(3, rows):
-            sets = [np.frombuffer(h, np.uint64) for h in held]
-            n = np.array([len(s) for s in sets])
+        for _, (docs, roots, sides, sigs, held) in _grouped(3, rows):
+            n = np.array([len(h) // 8 for h in held])
             label = np.array(roots, np.int64)
-            across = _across(_signed(sigs), label, n, least, percent)
+            across = _across(_signed(sigs), label, n, np.array(sides), least, percent)
+            # the base of a group of copies has the most candidates: taken first, it spares the copies' own pairs
+            order = np.argsort(-across.sum(axis=1), kind="stable")
+            across, label, n = across[np.ix_(order, order)], label[order], n[order]
+            docs, sets = [docs[i] for i in order], [np.frombuffer(held[i], np.uint64) for i in order]
             values, ids = np.unique(np.concatenate(sets), return_inverse=True)
             ids = np.split(ids, np.cumsum(n)[:-1])
             mark, links = np.zeros(len(values), bool), []
@@ -244,22 +260,45 @@ def _joining(least: int, percent: int):
     return run
 
 
+def _blocks(named: DataFrame) -> DataFrame:
+    """key, doc_id and root of regions to key, part, side, doc_id, root: a region of at most REGION members
+    is one part; the members of a larger one are dealt into blocks, those of a large component into blocks
+    of its own, and a part is one block (side -1) or two (sides 0 and 1). Two of one component make no part."""
+    mixed = named.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", "n")
+    small = named.join(mixed.filter(F.col("n") <= REGION), "key", "left_semi").select("key", F.lit(0).cast("long").alias("part"), F.lit(-1).alias("side"), "doc_id", "root")
+    large = stage(named.join(mixed.filter(F.col("n") > REGION), "key", "left_semi").select("key", "doc_id", "root"), "large")
+    if not large.limit(1).count():
+        return small
+    most = max(1, REGION // 2)
+    own = 2 * F.col("m") > most
+    sizes = large.groupBy("key", "root").agg(F.count("*").alias("m"))
+    rest = sizes.groupBy("key").agg(F.sum(F.when(own, 0).otherwise(F.col("m"))).alias("rest"))
+    place = lambda size: F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1).cast("long"), F.ceil(F.col(size) / most)))
+    block = F.when(own, F.xxhash64("root", place("m"))).otherwise(F.xxhash64(place("rest")))
+    members = stage(large.join(sizes, ["key", "root"]).join(rest, "key").select("key", block.alias("block"), "doc_id", "root"), "blocks")
+    blocks = members.groupBy("key", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    a, b = blocks.toDF("key", "x", "xlo", "xhi"), blocks.toDF("key", "y", "ylo", "yhi")
+    pairs = a.join(b, "key").filter("x <= y and not (xlo = xhi and ylo = yhi and xlo = ylo)").withColumn("part", F.xxhash64("x", "y"))
+    side = lambda n, c: F.struct(F.lit(n).alias("side"), F.col(c).alias("block"))
+    sides = pairs.select("key", "part", F.explode(F.when(F.col("x") == F.col("y"), F.array(side(-1, "x"))).otherwise(F.array(side(0, "x"), side(1, "y")))).alias("e")).select("key", "part", "e.*")
+    return small.unionByName(members.join(sides, ["key", "block"]).select("key", "part", "side", "doc_id", "root"))
+
+
 def links_between(regions: DataFrame, sigs: DataFrame, roots: DataFrame, texts: DataFrame, percent: int = 75, least: int = 34, weight: int = SLICE) -> DataFrame:
     """Links a, b between components: every candidate pair of a region is confirmed on full sets unless
-    links found before already join its ends, so a region gives fewer links than it has members."""
+    links found before already join its ends, so a part gives fewer links than it has members."""
     parts = parallelism(sigs.sparkSession)
-    named = regions.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "part", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    mixed = named.groupBy("key", "part").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", "part")
-    rows = named.join(mixed, ["key", "part"], "left_semi").join(sigs, "doc_id").select("key", "part", "doc_id", "root", "n", "sig")
+    named = regions.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    rows = _blocks(named).join(sigs, "doc_id").select("key", "part", "doc_id", "root", "side", "n", "sig")
     rows = rows.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "doc_id")
-    members = stage(rows.mapInArrow(_open(least, percent, weight), "key long, part int, slice int, doc_id long, root long"), "open")
-    full = members.join(sigs, "doc_id").join(texts, "doc_id").select("key", "part", "slice", "doc_id", "root", "sig", "text")
+    members = stage(rows.mapInArrow(_open(least, percent, weight), "key long, part long, slice int, doc_id long, root long, side long"), "open")
+    full = members.join(sigs, "doc_id").join(texts, "doc_id").select("key", "part", "slice", "doc_id", "root", "side", "sig", "text")
     full = full.repartition(parts, "key", "part", "slice").sortWithinPartitions("key", "part", "slice", "doc_id")
     return stage(full.mapInArrow(_joining(least, percent), "a long, b long"), "joining")
 
 
 def candidate_pairs(sigs: DataFrame, least: int = 34) -> tuple[DataFrame, DataFrame]:
-    """a < b and agree for the nearest doc_ids that meet in some tree, and the regions. least: four standard deviations
+    """a < b and agree for the nearest doc_ids that meet in some tree, and the regions (key, doc_id and n, its members) of the first depth, which hold all deeper ones. least: four standard deviations
     below the values that agree on average at a similarity of 0.75."""
     spark = sigs.sparkSession
     parts = parallelism(spark)
@@ -273,8 +312,8 @@ def candidate_pairs(sigs: DataFrame, least: int = 34) -> tuple[DataFrame, DataFr
         part = F.pmod(F.xxhash64("doc_id", "tree"), split).cast("int")
         bridge = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), (F.col("n") / BRIDGES).cast("int"))) == 0
         dealt = met.withColumn("part", F.explode(F.when((split > 1) & bridge, F.sequence(F.lit(0), split - 1)).otherwise(F.array(part))))
-        members = dealt.select("key", "part", "doc_id")
-        regions = members if regions is None else regions.unionByName(members)
+        if regions is None:
+            regions = met.select("key", "doc_id", "n")
         dealt = dealt.join(sigs, "doc_id").select("key", "part", "doc_id", "sig")
         found = dealt.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "doc_id").mapInArrow(_compare(least), "a long, b long, agree int")
         pairs = found if pairs is None else pairs.unionByName(found)
@@ -345,9 +384,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = stage(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "classes")
     sigs = classes.select(F.col("rep").alias("doc_id"), "sig", "n")
     pairs, regions = candidate_pairs(sigs)
-    # every document with a candidate has one among its nearest, so these are all ends of later pairs too;
+    # in a region that isn't split every document with a candidate has one among its nearest, so with the members
+    # of split ones these are all ends of later pairs too;
     # merged at every size: the ids have no bound that a broadcast could rely on
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    split = regions.filter(F.col("n") > REGION).select("doc_id")
+    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(split).distinct()
     texts = stage(slim.join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     ordered = F.struct(F.col("agree"), (-F.col("other")).alias("other"))
     sided = pairs.select(F.col("a").alias("u"), F.col("b").alias("other"), "agree").unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("other"), "agree"))

@@ -130,6 +130,33 @@ def test_links_of_one_region_against_brute_force(spark, weight):
     assert weight < neardup.SLICE or len(links) < 91
 
 
+def test_large_regions_against_brute_force(spark, monkeypatch):
+    """Copies that are near their base but not near each other, and others, in regions of many times REGION members."""
+    monkeypatch.setattr(neardup, "REGION", 4)
+    monkeypatch.setattr(neardup, "BRIDGES", 1)
+    bases = [prose(200).split() for _ in range(3)]
+    texts = [" ".join(b) for b in bases] + [edited(bases[0], 4) for _ in range(240)] + [edited(bases[i % 3], 20) for i in range(30)]
+    docs = spark.createDataFrame([((7 * i) % 277, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = {(7 * i) % 277: set(neardup.shingles(t).tolist()) for i, t in enumerate(texts)}
+    near = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    root = {i: i for i in sets}
+    for i, j in sorted(near):
+        lo, hi = sorted((root[i], root[j]))
+        root = {k: lo if r == hi else r for k, r in root.items()}
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()}
+    assert got == root
+    # every pair between components is held against each other once, however the region is cut
+    named = docs.selectExpr("1L key", "doc_id", "if(doc_id % 2 = 0, 0, doc_id) root")
+    rows = neardup._blocks(named).collect()
+    held = {}
+    for r in rows:
+        held.setdefault(r["part"], []).append(r)
+    pairs = [tuple(sorted((x["doc_id"], y["doc_id"]))) for part in held.values() for k, x in enumerate(part) for y in part[:k] if x["root"] != y["root"] and (x["side"] < 0 or x["side"] != y["side"])]
+    name = {r["doc_id"]: r["root"] for r in named.collect()}
+    assert sorted(pairs) == sorted((i, j) for i in name for j in name if i < j and name[i] != name[j])
+    assert max(map(len, held.values())) < 20 and len(rows) < len(name) ** 2
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in neardup.components(links).collect()}
