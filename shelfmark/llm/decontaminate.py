@@ -7,9 +7,10 @@ at most, m - 2 - 3 * edits of them are left near that start, so windows with few
 by the CGK random walk: at each of 3m steps the word at the pointer is put out, and a random bit of
 (step, word) tells whether the pointer moves; edit distance becomes Hamming distance. Repeated
 samples of the embeddings' positions, from several walks, let a window through if one sample agrees
-with the item's. What passes is verified by exact edit distance with free ends.
+with the item's. The share of matches that samples let through falls with the item's length and its
+edits, so a window that fails them is dropped only if the item's words (counted) that are absent
+from the text around it outnumber the edits, which no match can have. What is left is verified by exact edit distance with free ends.
 
-SAMPLES of two positions from each of WALKS walks reach a recall over 0.95 at the largest distance.
 The benchmark's words are counted first; a block of at most MOST_WORDS of them is sent to the tasks,
 and a larger benchmark is searched in several blocks, each against all documents.
 
@@ -99,6 +100,7 @@ class Index:
                 order = np.argsort(code, kind="stable")
                 distinct, first = np.unique(code[order], return_index=True)
                 self.grams[r] = (distinct, np.append(first, len(code)), item[order], at[order])
+        self.counted = [np.unique(w, return_counts=True) for _, w in self.items]
         self.embedded: dict[tuple[int, int], np.ndarray] = {}
         rng = np.random.default_rng(5)
         self.taken = rng.random((WALKS, SAMPLES, TAKEN))
@@ -149,6 +151,13 @@ class Index:
             hit[todo] = same[:, at].all(axis=2).any(axis=1)
         return hit
 
+    def absent(self, k: int, text: np.ndarray) -> int:
+        """How many words of item k text lacks, counted with repeats: no part of text is fewer edits away."""
+        kinds, counts = self.counted[k]
+        own = np.sort(text)
+        held = np.searchsorted(own, kinds, "right") - np.searchsorted(own, kinds, "left")
+        return int(np.maximum(counts - held, 0).sum())
+
     def matches(self, text: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item_id, words of the item, distance, start) of each item in text."""
         found: dict[int, tuple[int, int, int, int]] = {}
@@ -172,10 +181,11 @@ class Index:
                 start, near = start[~close], near[~close]
                 col = some[:, None] + np.arange(m)
                 windows = np.where((col >= 0) & (col < len(text)), text[np.clip(col, 0, len(text) - 1)], _PAD)
-                if not self.sampled(int(pairs[a, 0]), windows).any():
-                    continue
                 lo = max(0, s - 2 * most)
-                d, end = infix_distance(w, text[lo : s + m + 2 * most])
+                around = text[lo : s + m + 2 * most]
+                if not self.sampled(int(pairs[a, 0]), windows).any() and self.absent(int(pairs[a, 0]), around) > most:
+                    continue
+                d, end = infix_distance(w, around)
                 if d <= most:
                     found[key] = min(found.get(key, (key, m, d, s)), (key, m, d, max(0, lo + end - m)), key=lambda x: (x[2], x[3]))
                     break

@@ -180,6 +180,30 @@ def test_benchmark_recall_and_edges(spark, docs):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["delete", "insert", "mixed"])
+@pytest.mark.parametrize("length", [12, 59, 120, 300])
+def test_benchmark_recall_by_length(length, kind):
+    """Items of any length are found at the largest distance wherever the exact distance accepts them."""
+    own = random.Random(length)
+    missed = []
+    for trial in range(20):
+        item = [f"w{trial}x{i}" for i in range(length)]
+        words = list(item)
+        # spread, so that enough runs of three words stay whole
+        spots = sorted(own.sample(range(1, length - 1), decontaminate.allowed(length)), reverse=True)
+        for i in spots:
+            how = own.choice(["delete", "insert", "change"]) if kind == "mixed" else kind
+            words[i : i + 1] = {"delete": [], "insert": [words[i], "zz"], "change": ["zz"]}[how]
+        index = decontaminate.Index([(1, " ".join(item))])
+        text = np.array([index.vocab.get(w.encode(), -1) for w in ["aa"] * 50 + words + ["bb"] * 50])
+        exact, _ = decontaminate.infix_distance(index.items[0][1], text)
+        got = index.matches(text)
+        assert exact <= decontaminate.allowed(length)
+        if not got or got[0][2] > decontaminate.allowed(length):
+            missed.append(trial)
+    assert not missed
+
+
 def test_statistics_against_brute_force():
     for t in [None, "", "a a a a b", "x\n\n y z\nx\n", "é% w|w\n" * 40, prose(200) + " " + prose(3) * 3]:
         words = (t or "").encode().split()
