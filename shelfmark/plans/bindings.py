@@ -46,7 +46,7 @@ def page_results(spark: SparkSession, d: str) -> DataFrame:
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     rows = p.select(
         F.regexp_extract("url", r"^[a-z]+://[^/]+/([^/?#]*)", 1).alias("topic"), F.col("page_id").cast("int").alias("position"), title.alias("title"), "url",
-        F.substring(F.regexp_replace("html", "<[^>]*>", " "), 1, 400).alias("snippet"), (F.pmod("page_id", F.lit(100)) / 100.0).alias("provider_score"),
+        F.regexp_replace("html", "<[^>]*>", " ").alias("snippet"), (F.pmod("page_id", F.lit(100)) / 100.0).alias("provider_score"),
     )
     odd = spark.createDataFrame([("odd", i, "" if i == 6 else f"Guide {i}", u, "learn", 0.5) for i, u in enumerate(_ODD_URLS)], rows.schema)
     return rows.unionByName(odd)

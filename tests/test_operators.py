@@ -117,3 +117,16 @@ def test_search_end_to_end(spark):
     assert after.results.count() == 2 and after.runs.first()["status"] == "completed" and after.topics.first()["status"] == "active"
     again, error = process_next(after, Found(), None, NOW)
     assert error is None and again.runs.count() == 1
+
+
+def test_candidates_score_the_whole_page(spark, tmp_path):
+    from shelfmark.plans import bindings
+
+    filler = "<p>" + "plain words " * 100 + "</p>"
+    html = "<title>Page</title>" + filler
+    rows = [(1, "https://a.example.com/x/one", html), (2, "https://a.example.com/x/two", html + "<p>a tutorial</p>"), (3, "https://a.example.com/x/three", html + "<p>version 1.2</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    score = {r["position"]: r["score"] for r in bindings.QUERIES["interestingness_score"](spark, str(tmp_path)).filter("topic = 'x'").collect()}
+    assert score[2] == score[1] + 12 and score[3] == score[1] - 15
+    order = {r["url"].rsplit("/", 1)[1]: r["candidate_index"] for r in bindings.QUERIES["candidate_pipeline"](spark, str(tmp_path)).filter("topic = 'x'").collect()}
+    assert order == {"two": 1, "one": 2, "three": 3}
