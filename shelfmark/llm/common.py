@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -12,10 +13,31 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: The scratch paths of each application, so that they can be deleted.
+_PATHS: dict[str, list[str]] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below spark.checkpoint.dir, which driver and executors share. Where it is unset, a
+    temporary folder serves a local master, whose executors are the driver; a cluster is refused."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _PATHS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession, *keep: str) -> None:
+    """Delete the application's scratch paths but for those in keep; results that still read them are lost."""
+    jvm, paths = spark.sparkContext._jvm, _PATHS.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        if path not in keep:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _PATHS[spark.sparkContext.applicationId] = list(keep)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -26,11 +48,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 400) -> None:
-    """Bound the memory of an Arrow batch: texts may be very long."""
+    """Bound the memory of an Arrow batch: texts may be very long. Spark reads these settings when the
+    result is computed, so they stay set in the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,9 +1,14 @@
 """Token ids of whole texts, with a bounded memory of the units already encoded.
 
-Both vocabularies in use never join characters across the start of a blank run, so a text may be
-cut before every space or line feed and the ids of the pieces joined. Where the vocabulary drops blanks
-and lower-cases, pieces are kept in lower case, without blanks, and without a stop or comma that ends a word. Texts with any other blank, or
-with two blanks in a row, go to the tokenizer whole. Pieces repeat far more often than texts do.
+A byte-level BPE whose tokens never hold a blank but at their start doesn't join characters across
+the start of a blank run, so a text may be cut before every space or line feed and the ids of the
+pieces joined. Where the vocabulary drops blanks and lower-cases, pieces are kept in lower case,
+without blanks, and without a stop or comma that ends a word. Texts with any other blank, with two
+blanks in a row, or with the string of an added token (such as <|endoftext|>, which the tokenizers
+library reads as that token) go to the tokenizer whole, and so does every text where the vocabulary
+is of another kind. Pieces repeat far more often than texts do.
+
+Edge cases: a null or empty text has no ids; texts of any length are encoded whole.
 """
 
 from __future__ import annotations
@@ -21,6 +26,32 @@ _CASES = re.compile("[Σİẞŉǰΐΰ]|'")
 _STOPS = re.compile(r"(?<=[a-z])([.,])(?=[ \n]|$)")
 
 
+def _cuts_at_blanks(spec: dict) -> bool:
+    """Whether a vocabulary is known to give the same ids for a text cut before its single blanks."""
+
+    def kinds(step: dict | None) -> set[str]:
+        if not step:
+            return set()
+        more = step.get("pretokenizers") or step.get("normalizers")
+        return set().union(*map(kinds, more)) if more else {step["type"]}
+
+    def plain(step: dict | None) -> bool:
+        if not step:
+            return True
+        return not step.get("add_prefix_space", False) and all(map(plain, step.get("pretokenizers") or []))
+
+    inside = re.compile("[^\u0120\u010a][\u0120\u010a]")  # a blank, as bytes are written in such a vocabulary
+    return (
+        spec["model"].get("type") == "BPE"
+        and kinds(spec.get("pre_tokenizer")) <= {"ByteLevel", "Split"}
+        and "ByteLevel" in kinds(spec.get("pre_tokenizer"))
+        and kinds(spec.get("normalizer")) <= {"NFC", "Replace", "Lowercase"}
+        and plain(spec.get("pre_tokenizer"))
+        and not any(t.get("normalized") or t.get("single_word") for t in spec.get("added_tokens") or [])
+        and not any(inside.search(t) for t in spec["model"]["vocab"])
+    )
+
+
 class UnitTokenizer:
     """ids(texts) gives each text's ids as little-endian unsigned 32-bit bytes."""
 
@@ -29,8 +60,10 @@ class UnitTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.folds = "Lowercase" in json.dumps(json.loads(self.tok.to_str()).get("normalizer"))
+        spec = json.loads(self.tok.to_str())
+        self.folds = "Lowercase" in json.dumps(spec.get("normalizer"))
+        self.marks = [t["content"] for t in spec.get("added_tokens") or []]
+        self.whole = not _cuts_at_blanks(spec)
         self.seen: dict[str, bytes] = {}
         self.most = most
 
@@ -44,7 +77,7 @@ class UnitTokenizer:
         for t in texts:
             if not t:
                 out.append(b"")
-            elif _ODD.search(t):
+            elif self.whole or any(m in t for m in self.marks) or _ODD.search(t):
                 out.append(self._encode([t])[0])
             else:
                 if self.folds and not _CASES.search(t) and (t.isascii() or unicodedata.is_normalized("NFC", t)):
