@@ -11,7 +11,8 @@ each; u32 length each; u64 block start each (from the file's start); blocks: u32
 u16 exceptions, packed bits, u8 position each, u32 high part each.
 
 Edge cases: a null or empty text has the end id alone; null doc_ids come first and are written as
-the least 64-bit integer; repeated rows are written each; an empty table writes no file.
+the least 64-bit integer; rows that share a doc_id are written each, ordered by the hash of their
+text and then the text; an empty table writes no file; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -175,14 +176,21 @@ def write_tokens(docs: DataFrame, path: str, vocab: str, end_id: int, segment: i
         if keys:
             yield flush()
 
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(parallelism(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = rows.withColumn("_hash", F.xxhash64("text")).withColumn("_tie", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(parallelism(docs.sparkSession), "doc_id", "_hash", "_tie").sortWithinPartitions("doc_id", "_hash", "text", "_tie").select("doc_id", "text")
     return stage(dealt.mapInArrow(write, "part int, segment int, file string, n_docs long, n_tokens long"), "files")
 
 
 def read_tokens(files: DataFrame, path: str) -> DataFrame:
     """Read the files back: doc_id, start, n_tokens, ids_crc32 for each document."""
-    order = Window.orderBy("part", "segment")  # a row a file
-    located = files.withColumn("before", F.sum("n_tokens").over(order) - F.col("n_tokens")).select("file", "before")
+    spark, total = files.sparkSession, 0
+    offsets = []
+    for part, n in sorted(files.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()):  # a row a partition
+        offsets.append((part, total))
+        total += n
+    order = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    located = files.join(F.broadcast(spark.createDataFrame(offsets, "part int, _first long")), "part").select("file", (F.col("_first") + F.sum("n_tokens").over(order) - F.col("n_tokens")).alias("before"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, root = _open(path)
