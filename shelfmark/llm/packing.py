@@ -6,8 +6,8 @@ with the most room; equal packs are one pattern with a count. A piece then finds
 rank among the pieces of its length. Ranks come from salted groups, so a length that a third of all
 pieces share is ranked by many tasks.
 
-Edge cases: a null or empty text is one piece that holds the end id alone; repeated rows are packed
-each; an empty table gives an empty result; other columns of the input are ignored.
+Edge cases: a null or empty text is one piece that holds the end id alone; repeated rows, and rows
+that share a doc_id, are packed each; ties are broken by doc_id, start and the ids' checksum; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import parallelism, small_batches, stage
@@ -78,15 +78,19 @@ def pieces(docs: DataFrame, vocab: str, end_id: int, max_len: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
+def _salt(spark: SparkSession, x: Column) -> Column:
+    return F.pmod(x, F.lit(parallelism(spark))).cast("int")
+
+
 def pack(parts: DataFrame, max_len: int) -> DataFrame:
     """Adds sequence_id and offset to rows that have a length of at most max_len."""
-    salts = parallelism(parts.sparkSession)
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
+    ties = [c for c in ("doc_id", "start", "ids_crc32", "doc_tokens") if c in parts.columns]
+    salted = parts if "_salt" in parts.columns else parts.withColumn("_salt", _salt(parts.sparkSession, F.xxhash64(*ties)))
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     by_salt = Window.partitionBy("length").orderBy("_salt")
     before = counts.withColumn("_before", F.sum("_n").over(by_salt) - F.col("_n")).drop("_n")
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # max_len rows at most
-    own = Window.partitionBy("length", "_salt").orderBy("doc_id", "start")
+    own = Window.partitionBy("length", "_salt").orderBy(*ties)  # rows that are equal in all of these may change places
     ranked = salted.withColumn("_own", F.row_number().over(own) - 1).join(before, ["length", "_salt"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_own")).drop("_before", "_own", "_salt")
 
@@ -122,5 +126,7 @@ def pack(parts: DataFrame, max_len: int) -> DataFrame:
 def pack_documents(docs: DataFrame, vocab: str | None = None, end_id: int = 1, max_len: int = 2048) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for each piece."""
     small_batches(docs.sparkSession)
-    parts = stage(pieces(docs, vocab or vocabulary("byte_bpe_50k.json"), end_id, max_len), "pieces")
+    rows = pieces(docs, vocab or vocabulary("byte_bpe_50k.json"), end_id, max_len)
+    # the row's place is part of the salt, so that copies under one doc_id spread too; it is written with the rows
+    parts = stage(rows.withColumn("_salt", _salt(docs.sparkSession, F.xxhash64("doc_id", "start", F.monotonically_increasing_id()))), "pieces")
     return pack(parts, max_len).select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
