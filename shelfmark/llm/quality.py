@@ -1,9 +1,10 @@
 """Quality rules: statistics of whole texts and a learned decision list over them.
 
 The list is learned by sequential covering. Each rule is a conjunction of thresholds, grown by FOIL
-gain on two thirds of the labelled rows and pruned on the rest; rules are kept while they are
-precise enough there, and the rows they cover are taken away before the next. The list becomes one
-ordered conditional expression that Spark evaluates on every row.
+gain on two thirds of the labelled rows that are left and pruned on the rest; rules are kept while
+they are precise enough on all rows that are left, and the rows they cover are taken away before the
+next. The list becomes one ordered conditional expression that Spark evaluates on every row. The
+list doesn't depend on the layout of the files.
 
 Only the fit uses a bounded sample: at most SAMPLE labelled documents, those with the least hash of
 their id. Everything else covers every document.
@@ -144,7 +145,7 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, most: int) -> list[tuple[st
 
 
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, seed: int = 7, most_rules: int = 24, most_terms: int = 4, precision: float = 0.9, least: int = 5) -> list[Rule]:
-    """Sequential covering of the bad rows. precision: of a rule on the pruning rows, smoothed."""
+    """Sequential covering of the bad rows. precision: of a rule on all rows that are left, smoothed."""
     rng = np.random.default_rng(seed)
     left, rules = np.ones(len(bad), bool), []
     while len(rules) < most_rules and (left & bad).sum() >= least and (left & ~bad).any():
@@ -188,9 +189,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("_good")).dropna().groupBy("doc_id").agg(F.min("_good").alias("_good"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = measured(named.join(F.broadcast(own), "doc_id"), "_q").select("_good", "_q.*").toPandas()  # at most `sample` ids
+    # one row an id, so at most `sample` rows; of several documents with one id the least is taken
+    one = measured(named.join(F.broadcast(own), "doc_id"), "_q").groupBy("doc_id").agg(F.min(F.struct("_good", *[F.col("_q")[c].alias(c) for c in SHARES])).alias("_m"))
+    rows = one.select("doc_id", "_m.*").toPandas()
     if not len(rows):
         return []
+    rows = rows.sort_values("doc_id")  # the layout of the files doesn't matter to the rules
     bad = (rows["_good"] == 0).to_numpy()
     return learn({c: rows[c].to_numpy(float) for c in SHARES}, bad) if bad.any() and not bad.all() else []
 
