@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import parallelism, stage
 
 FANOUT = 16
 RANGE = 256 << 10
@@ -49,8 +49,17 @@ def placed(pages: DataFrame, extra: dict[str, Column] | None = None, records: in
         F.sha2(whole, 256).alias("digest"),
         *[c.alias(n) for n, c in (extra or {}).items()],
     )
-    order = Window.partitionBy("file").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return slim.withColumn("offset", F.sum("length").over(order) - F.col("length"))
+    # a file may hold any number of rows (all pages without an id, or all that share one): its rows are
+    # summed up by range partition, and each partition's share of a file starts after those before it
+    order = ["file", "page_id", "digest", "_tie"]
+    dealt = slim.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(parallelism(pages.sparkSession), *order)
+    dealt = stage(dealt.withColumn("_part", F.spark_partition_id()), "placed")
+    shares = dealt.groupBy("file", "_part").agg(F.sum("length").alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy("file").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_sum")
+    own = F.sum("length").over(Window.partitionBy("file", "_part").orderBy("page_id", "digest", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    starts = shares.select("file", "_part", before.alias("_before"))
+    summed = dealt.withColumn("_own", own).join(starts, ["file", "_part"])
+    return summed.withColumn("offset", F.col("_before") + F.col("_own") - F.col("length")).drop("_tie", "_part", "_own", "_before")
 
 
 def _over(items: Column, *fields: str) -> Column:
@@ -83,8 +92,9 @@ def tree(manifest: DataFrame, range_bytes: int = RANGE) -> list[tuple[str, DataF
 
 def _differ(nodes: DataFrame) -> DataFrame:
     """file, at of the nodes whose hashes differ, or that one side lacks."""
-    left, right = (nodes.filter(F.col("copy") == c).select("file", "at", F.col("hash").alias(f"hash{c}")) for c in (0, 1))
-    return left.join(right, ["file", "at"], "full_outer").filter(~F.col("hash0").eqNullSafe(F.col("hash1"))).select("file", "at")
+    side = [F.max(F.when(F.col("copy") == c, F.col("hash"))).alias(f"hash{c}") for c in (0, 1)]
+    both = nodes.groupBy("file", "at").agg(*side).filter(~F.col("hash0").eqNullSafe(F.col("hash1")))
+    return stage(both.select("file", "at"), "differ")  # so that each level's plan reads the one above, not all above
 
 
 def locate(manifest: DataFrame, range_bytes: int = RANGE) -> DataFrame:
@@ -103,9 +113,10 @@ def locate(manifest: DataFrame, range_bytes: int = RANGE) -> DataFrame:
         bad = _differ(nodes.join(parents, above, "left_semi"))
     parents = bad.select(F.col("file").alias("_f"), F.col("at").alias("_a"))
     rows = manifest.join(parents, (F.col("file") == F.col("_f")) & (F.call_function("div", F.col("offset"), F.lit(range_bytes)) == F.col("_a")), "left_semi")
-    rows = rows.groupBy("copy", "file", "offset").agg(F.array_sort(F.collect_list(F.struct("length", "digest"))).alias("has"))
-    left, right = (rows.filter(F.col("copy") == c).select("file", "offset", F.col("has").alias(f"has{c}")) for c in (0, 1))
-    both = left.join(right, ["file", "offset"], "full_outer").filter(~F.col("has0").eqNullSafe(F.col("has1")))
+    counted = rows.groupBy("copy", "file", "offset", "length", "digest").agg(F.count("*").alias("n"))
+    sides = [F.array_sort(F.collect_list(F.when(F.col("copy") == c, F.struct("length", "digest", "n")))) for c in (0, 1)]
+    both = counted.groupBy("file", "offset").agg(*[F.when(F.size(s) > 0, s).alias(f"has{c}") for c, s in enumerate(sides)])
+    both = both.filter(~F.col("has0").eqNullSafe(F.col("has1")))
     return both.select("file", "offset", F.when(F.col("has1").isNull(), "missing").when(F.col("has0").isNull(), "extra").otherwise("altered").alias("verdict"))
 
 
