@@ -1,20 +1,26 @@
 """Main text of web pages by text-to-tag ratios.
 
 Parser events of the standard library become lines, one for each block of text, with the tags seen
-around it. The ratio of text to tags of each line is smoothed by a Gaussian, and two-means on its
-logarithm tells content from the rest. The content lines' text then votes for the element that holds
-the article, and every block in it is returned that no menu, header, footer, sidebar, notice, advert,
-form, script, style or reader comments holds: so short paragraphs stay.
+around it. Lines that a menu, header, footer, sidebar, notice, advert, form, script, style or reader
+comments hold, by tag, role, class or id, go. The ratio of text outside links to tags of each line is
+smoothed by a Gaussian, and two-means on its logarithm tells content from the rest. The content
+lines' text votes for the element that holds the article: one that is named so, or else the deepest
+with most of it, widened to a heading and to content beside it. In that element content lines and
+headings stay; a line with a low ratio goes if links make it up, and, in an element that isn't named
+as the article, unless it is a paragraph, list item or cell in line with content. So short paragraphs
+stay. The time grows with the number of tags, however deep they are.
 
 Edge cases: a null, empty or textless page gives an empty text; text outside any element is a block;
-broken and unclosed markup is read as far as it goes; repeated rows are extracted each; an empty table
-gives an empty result; other columns are ignored.
+broken and unclosed markup, of any depth and length, is read as far as it goes; repeated rows and ties
+are extracted each; a null page_id or url is kept; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -30,6 +36,8 @@ _NEVER = frozenset("script style noscript template head title svg canvas iframe
 _BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 _HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _MAIN = frozenset("article main".split())
+#: Blocks that hold a line of text, not an article.
+_LEAVES = frozenset("p li td th tr dt dd pre blockquote figcaption caption summary".split())
 #: Words of class or id that name what isn't the article.
 _OTHER = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner sidebar aside rail menu submenu nav navbar navigation navigational breadcrumb breadcrumbs footer foot cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments disqus respond replies reply related recommended recommendations widget widgets search toolbar pagination pager masthead topbar copyright disclaimer skip hidden".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar note form".split())
@@ -38,16 +46,19 @@ _CLOSES_P = _BLOCKS - frozenset(["html", "body"])
 
 
 class _Lines(HTMLParser):
-    """Lines as [text, tags, link characters, ids of open elements, never]; elements that may be
-    something other than the article are told by `soft`, and cleared if they hold a main element."""
+    """Lines as (text, tags, link characters, element); an element has its tag, its parent, the nearest
+    block around it, and whether it may be something other than the article (OTHER, or a HEADER). Each
+    tag costs the same however deep it stands."""
+
+    OTHER, HEADER = 1, 2
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int]] = []
-        self.lines: list[tuple[str, int, int, tuple[int, ...], str]] = []
-        self.names: dict[int, str] = {}
-        self.soft: set[int] = set()
-        self.never = self.links = self.tags = self.link_chars = self.count = 0
+        self.tag, self.parent, self.block, self.soft = [""], [0], [0], [0]
+        self.open = [0]
+        self.opened: Counter[str] = Counter()
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.never = self.tags = self.link_chars = 0
         self.buffer: list[str] = []
 
     def updatepos(self, i: int, j: int) -> int:
@@ -57,8 +68,7 @@ class _Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.buffer).split())
         if text:
-            own = next((n for n, _ in reversed(self.open) if n in _BLOCKS), "")
-            self.lines.append((text, self.tags, self.link_chars, tuple(i for _, i in self.open), own))
+            self.lines.append((text, self.tags, self.link_chars, self.open[-1]))
             self.tags = 0
         self.buffer, self.link_chars = [], 0
 
@@ -67,64 +77,64 @@ class _Lines(HTMLParser):
         if tag in _BLOCKS:
             self.flush()
         if tag in _VOID:
-            if tag in ("br", "hr", "wbr") and tag != "wbr":
+            if tag in ("br", "hr"):
                 self.buffer.append(" ")
             return
         if tag in _CLOSES_P:
             self._close("p", upto=_CLOSES_P - {"p"})
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             self._close(tag, upto=frozenset(["ul", "ol", "dl", "table", "select", "menu"]))
-        self.count += 1
-        self.open.append((tag, self.count))
-        self.names[self.count] = tag
-        if tag in _NEVER:
-            self.never += 1
-        if tag == "a":
-            self.links += 1
-        if tag in _MAIN:
-            self.soft.difference_update(i for _, i in self.open)
-        elif tag == "header" and not attrs:
-            self.soft.add(-self.count)
-        elif attrs and tag not in ("html", "body", "a"):
+        own, above = len(self.tag), self.open[-1]
+        self.tag.append(tag)
+        self.parent.append(above)
+        self.block.append(own if tag in _BLOCKS else self.block[above])
+        self.soft.append(self._softness(tag, attrs))
+        self.open.append(own)
+        self.opened[tag] += 1
+        self.never += tag in _NEVER
+
+    def _softness(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        if attrs and tag not in ("html", "body", "a"):
             a = dict(attrs)
             words = {w.lower() for c in ("class", "id") for w in _SPLIT.split(a.get(c) or "")}
             if words & _OTHER or (a.get("role") or "").lower() in _ROLES or "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style") or ""):
-                self.soft.add(self.count)
-            elif tag == "header":
-                self.soft.add(-self.count)
+                return self.OTHER
+        return self.HEADER if tag == "header" else 0
 
     def _pop(self) -> None:
-        tag, _ = self.open.pop()
+        tag = self.tag[self.open.pop()]
+        self.opened[tag] -= 1
         self.never -= tag in _NEVER
-        self.links -= tag == "a"
 
     def _close(self, tag: str, upto: frozenset[str]) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
+        for k in range(len(self.open) - 1, 0, -1) if self.opened[tag] else ():
+            name = self.tag[self.open[k]]
+            if name == tag:
                 while len(self.open) > k:
                     self._pop()
                 return
-            if self.open[k][0] in upto or self.open[k][0] in _NEVER:
+            if name in upto or name in _NEVER:
                 return
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in _BLOCKS:
             self.flush()
-        if tag in _VOID:
+        if tag in _VOID or not self.opened[tag]:
             return
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
+        for k in range(len(self.open) - 1, 0, -1):
+            name = self.tag[self.open[k]]
+            if name == tag:
                 while len(self.open) > k:
                     self._pop()
                 return
-            if tag not in _BLOCKS and self.open[k][0] in _BLOCKS:
+            if tag not in _BLOCKS and name in _BLOCKS:
                 return
 
     def handle_data(self, data: str) -> None:
         if not self.never:
             self.buffer.append(data)
-            if self.links:
+            if self.opened["a"]:
                 self.link_chars += len(data.strip())
 
 
@@ -159,49 +169,74 @@ def main_text(html: str | None) -> str:
     p.flush()
     if not p.lines:
         return ""
-    if p.soft:  # an element with most of the text and a heading is a wrapper, whatever its name says
-        most = 0.7 * sum(len(x[0]) for x in p.lines)
-        for i in [i for i in p.soft if i > 0]:
-            inside = [x for x in p.lines if i in x[3]]
-            if sum(len(x[0]) for x in inside) >= most and any(x[4] in _HEADS for x in inside):
-                p.soft.discard(i)
-    usable = []
-    for text, tags, link, ids, own in p.lines:
-        if any(i in p.soft for i in ids):
-            continue
-        heads = [i for i in ids if -i in p.soft]
-        if heads and not (own in _HEADS and any(p.names[i] in _MAIN for i in ids)):
-            continue
-        usable.append((text, tags, link, ids, own))
+    n, tag, parent = len(p.tag), p.tag, p.parent
+    own = [tag[p.block[e]] for _, _, _, e in p.lines]
+
+    def summed(lines: Iterable[tuple[int, float]]) -> list[float]:
+        """The sums of (element, value) over each element and those in it."""
+        out = [0.0] * n
+        for e, v in lines:
+            out[e] += v
+        for i in range(n - 1, 0, -1):
+            out[parent[i]] += out[i]
+        return out
+
+    text = summed((x[3], len(x[0])) for x in p.lines)
+    heads = summed((x[3], own[k] in _HEADS) for k, x in enumerate(p.lines))
+    mains = summed((i, tag[i] in _MAIN) for i in range(1, n))
+    # an element that holds an article, or most of the text and a heading, is a wrapper, whatever its name says
+    other, header, in_main = [False] * n, [False] * n, [False] * n
+    for i in range(1, n):
+        soft = 0 if mains[i] else p.soft[i]
+        other[i] = other[parent[i]] or (soft == p.OTHER and not (text[i] >= 0.7 * text[0] and heads[i]))
+        header[i] = header[parent[i]] or soft == p.HEADER
+        in_main[i] = in_main[parent[i]] or tag[i] in _MAIN
+    usable = [(x, o) for x, o in zip(p.lines, own, strict=True) if not other[x[3]] and (not header[x[3]] or (o in _HEADS and in_main[x[3]]))]
     if not usable:
         return ""
-    size = np.array([len(x[0]) for x in usable], float)
-    ratio = np.array([(len(x[0]) - min(x[2], len(x[0]))) / max(1, x[1]) for x in usable])
+    size = np.array([len(x[0]) for x, _ in usable], float)
+    ratio = np.array([(len(x[0]) - min(x[2], len(x[0]))) / max(1, x[1]) for x, _ in usable])
     score = np.log1p(smoothed(ratio))
-    content = score >= threshold(score)
-    mass: dict[int, float] = {}
-    for x, s, c in zip(usable, size, content, strict=True):
-        if c:
-            for i in x[3]:
-                mass[i] = mass.get(i, 0.0) + s
-    total = sum(s for s, c in zip(size, content, strict=True) if c)
-    mains = [i for i in mass if p.names[i] in _MAIN and mass[i] >= 0.3 * total]
-    whole = {i: sum(s for x, s in zip(usable, size, strict=True) if i in x[3]) for i in p.names if p.names[i] in _MAIN}
-    if mains:
-        best = max(mass[i] for i in mains)
-        chosen = max((i for i in mains if mass[i] >= 0.8 * best and p.names[i] == "article"), default=max(i for i in mains if mass[i] >= 0.8 * best))
-    elif len([i for i in whole if whole[i] > 0]) == 1:
-        chosen = next(i for i in whole if whole[i] > 0)
+    linked = np.array([x[2] > 0 and 2 * x[2] >= len(x[0].replace(" ", "")) for x, _ in usable])
+    # smoothing lifts a line of links that stands beside the article; no paragraph or item, it goes by its own ratio
+    loose = linked & np.array([o not in _LEAVES and o not in _HEADS for _, o in usable]) & (np.log1p(ratio) < threshold(score))
+    content = (score >= threshold(score)) & ~loose
+    mass = summed((x[3], s) for (x, _), s, c in zip(usable, size, content, strict=True) if c)
+    whole = summed((x[3], s) for (x, _), s in zip(usable, size, strict=True))
+    named = [i for i in range(1, n) if tag[i] in _MAIN and whole[i]]
+    enough = [i for i in named if mass[i] >= 0.3 * mass[0]]
+    if enough:
+        best = max(mass[i] for i in enough)
+        close = [i for i in enough if mass[i] >= 0.8 * best]
+        chosen = max((i for i in close if tag[i] == "article"), default=max(close))
+    elif len(named) == 1:
+        chosen = named[0]
     else:
-        held = [i for i in mass if p.names[i] in _BLOCKS and p.names[i] not in ("p", "li", "td", "tr", "blockquote") and mass[i] >= 0.7 * total]
-        chosen = max(held, default=0)
+        named = []
+        chosen = max((i for i in range(1, n) if tag[i] in _BLOCKS and tag[i] not in _LEAVES and mass[i] >= 0.7 * mass[0]), default=0)
+        # the heading and the content lines beside the element that has most of them belong to it
+        while chosen and tag[parent[chosen]] not in ("", "html") and (mass[parent[chosen]] > mass[chosen] or heads[parent[chosen]] > heads[chosen] == 0):
+            chosen = parent[chosen]
+    inside, beside = [False] * n, set()
+    inside[chosen] = True
+    for i in range(chosen + 1, n):
+        inside[i] = inside[parent[i]]
+    for (x, _), c in zip(usable, content, strict=True):
+        if c:
+            beside.add(parent[p.block[x[3]]])
     out = []
-    for text, _, link, ids, own in usable:
-        if chosen and chosen not in ids:
-            continue
-        if own == "li" and link >= 0.9 * len(text.replace(" ", "")) and link:
+    for (x, o), c, links in zip(usable, content, linked, strict=True):
+        text_of, _, _, e = x
+        if not inside[e]:
             continue
-        out.append(text)
+        if not c and o not in _HEADS:
+            # of the lines with a low ratio those go that links make up, and where no element is named as
+            # the article also those that don't stand in line with content
+            if links:
+                continue
+            if not named and (o not in _LEAVES or parent[p.block[e]] not in beside):
+                continue
+        out.append(text_of)
     return "\n\n".join(out)
 
 
