@@ -1,27 +1,33 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures of five-word shingles.
 
-Documents with equal shingle sets are one class, represented by the least doc_id. A signature has 64
-values; each of 16 trees orders the signatures from another starting place. Documents that share the
-first three values of an order meet; a region with too many members goes deeper, to 6, 12, 24 and 48
-values, until its members are few. Members of a region are compared by signature alone and each
-first keeps its nearest few as candidates, as well as the region's medoid. A region that is too large is split by a hash for
-this first look, with some members repeated in each part as bridges.
-
-Candidates are confirmed on the full shingle sets. First the likeliest candidate of each document is
-confirmed and components are formed, then its others between components; then the regions are gone through again, and all candidates
-between two components, near or not, are confirmed in place, whatever the region's size: a large one is dealt into blocks,
-and every block is held against every other, but for two blocks of one component. A region gives only the links that join
-components, fewer than its members. Components come from alternating large-star and small-star
-steps on tables in the shared folder; nothing is collected.
-
-Edge cases: a null, empty or blank text has the empty set and is linked with nothing; under five
-words the whole sequence is the one shingle; a null doc_id is linked with nothing and kept; repeated
-rows share their result; an empty table gives an empty result; other columns are ignored.
+Documents with equal shingle sets are one class, numbered in the order of their least doc_ids. A
+signature has 64 values. Each of 21 trees is a sorted order of the signatures, read from a value of
+its own on; signatures that share the first three values of an order are a region of it, and one with
+too many members is gone into deeper, to 6, 12, 24 and 48 values, so the depth adapts to the region.
+The neighbours in a region's order, which share the longest prefixes, are candidates of each other;
+so is the member that agrees best with the region's most common values. A region that is too large is
+split by a hash for this first look, with some members repeated in each part as bridges.
+
+Candidates are confirmed on the full shingle sets. First the likeliest candidate of each class is
+confirmed and components are formed, then its others between components; then the regions are gone
+through again, and all members of different components are compared by signature and confirmed in
+place, neighbours or not, whatever the region's size: a large one is dealt into blocks, and every block
+is held against every other, but for two blocks of one component. A region gives only the links that
+join components, fewer than its members. So a link is lost only if its ends meet in no tree or their
+signatures agree in fewer than LEAST values: at a similarity of 0.75 either has a chance below 1 in
+50,000. Components come from alternating large-star and small-star steps on tables in the shared
+folder; nothing is collected.
+
+Edge cases: a null, empty or blank text has the empty set and is linked with nothing; under five words
+the whole sequence is the one shingle; a null doc_id is linked with nothing and kept; rows that share a
+doc_id are one node, linked by any of their texts, and are kept or not together; ties go to the least
+doc_id; texts of any length are taken whole; an empty table gives an empty result; other columns are
+ignored by near_duplicates, and returned by near_dedup whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +35,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, parallelism, signed, small_batches, stage
+from .common import free_name, mix64, parallelism, signed, small_batches, stage
+from .sharding import numbered
 
 VALUES, TREES, DEPTHS = 64, 21, (3, 6, 12, 24, 48)
 WIDTH = 5
 #: Members of a region that are compared at once (two blocks of half as many in a larger one), and those repeated in each part of a larger one.
-REGION, BRIDGES, NEAREST = 2048, 16, 3
+REGION, BRIDGES = 2048, 16
+#: How far apart in a region's order neighbours may stand.
+NEAREST = 3
+#: Values that candidates agree in: 48 on average at a similarity of 0.75, under 30 in one of 2.6 million.
+LEAST = 30
 #: Shingles whose sets are held at once while the candidates of a region are confirmed.
 SLICE = 4_000_000
 
@@ -114,48 +125,44 @@ def _agreement(sig: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
     return agree
 
 
-def _nearest(docs: np.ndarray, sig: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Candidate pairs of one region with how many values agree; a few for each member."""
+def _neighbours(docs: np.ndarray, sig: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Candidate pairs of one region, sorted by signature, with how many values agree: members near each
+    other in the order, so that they share the longest prefixes, and each with the region's hub."""
     m = len(docs)
-    agree = _agreement(sig)
-    agree[docs[:, None] == docs[None, :]] = -1
-    medoid = int(np.argmax(agree.sum(axis=1)))
-    k = min(NEAREST, m - 1)
-    near = np.argpartition(-agree, k - 1, axis=1)[:, :k] if k < m - 1 else np.argsort(-agree, axis=1)[:, :k]
-    near = np.concatenate([near, np.full((m, 1), medoid)], axis=1)
-    i = np.repeat(np.arange(m), near.shape[1])
-    j = near.ravel()
-    ok = agree[i, j] >= least
+    every = np.arange(m)
+    i = np.concatenate([every[:-d] for d in range(1, min(NEAREST, m - 1) + 1)])
+    j = np.concatenate([every[d:] for d in range(1, min(NEAREST, m - 1) + 1)])
+    if m > NEAREST + 1:
+        order = np.sort(sig, axis=0)  # the most common value of each column
+        size = np.ones((m, VALUES), np.int32)
+        for k in range(1, m):
+            size[k] = np.where(order[k] == order[k - 1], size[k - 1] + 1, 1)
+        common = order[size.argmax(axis=0), np.arange(VALUES)]
+        hub = int((sig == common).sum(axis=1).argmax())
+        i, j = np.concatenate([i, every]), np.concatenate([j, np.full(m, hub)])
+    agree = (sig[i] == sig[j]).sum(axis=1)
+    ok = (agree >= least) & (docs[i] != docs[j])
     i, j = i[ok], j[ok]
     lo, hi = np.minimum(docs[i], docs[j]), np.maximum(docs[i], docs[j])
-    return list(zip(lo.tolist(), hi.tolist(), agree[i, j].tolist(), strict=True))
+    return list(zip(lo.tolist(), hi.tolist(), agree[ok].tolist(), strict=True))
 
 
 def _compare(least: int):
-    """Rows sorted by region to candidate pairs; holds one region at a time."""
+    """Rows sorted by region and signature to candidate pairs; holds one region at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "agree"]
-        key, docs, sigs = None, [], []
-
-        def done() -> list[tuple[int, int, int]]:
-            if len(docs) < 2:
-                return []
-            return _nearest(np.array(docs, np.int64), np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, VALUES), least)
-
-        for b in batches:
-            out: list[tuple[int, int, int]] = []
-            for k, c, d, s in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if (k, c) != key:
-                    out += done()
-                    key, docs, sigs = (k, c), [], []
-                docs.append(d)
-                sigs.append(s)
-            out = list(dict.fromkeys(out))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], names)
-        if out := list(dict.fromkeys(done())):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], names)
+        def batch(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["a", "b", "agree"])
+
+        out: list[tuple[int, int, int]] = []
+        for _, (sigs, docs) in _grouped(2, batches):
+            if len(docs) > 1:
+                out += _neighbours(np.array(docs, np.int64), _signed(sigs), least)
+            if len(out) > 10_000:
+                yield batch(list(dict.fromkeys(out)))
+                out = []
+        if out:
+            yield batch(list(dict.fromkeys(out)))
 
     return run
 
@@ -284,22 +291,23 @@ def _blocks(named: DataFrame) -> DataFrame:
     return small.unionByName(members.join(sides, ["key", "block"]).select("key", "part", "side", "doc_id", "root"))
 
 
-def links_between(regions: DataFrame, sigs: DataFrame, roots: DataFrame, texts: DataFrame, percent: int = 75, least: int = 34, weight: int = SLICE) -> DataFrame:
+def links_between(regions: DataFrame, sigs: DataFrame, roots: DataFrame, texts: Callable[[DataFrame], DataFrame], percent: int = 75, least: int = LEAST, weight: int = SLICE) -> DataFrame:
     """Links a, b between components: every candidate pair of a region is confirmed on full sets unless
-    links found before already join its ends, so a part gives fewer links than it has members."""
+    links found before already join its ends, so a part gives fewer links than it has members. texts: the
+    texts (doc_id, text) of given doc_ids."""
     parts = parallelism(sigs.sparkSession)
     named = regions.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     rows = _blocks(named).join(sigs, "doc_id").select("key", "part", "doc_id", "root", "side", "n", "sig")
     rows = rows.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "doc_id")
     members = stage(rows.mapInArrow(_open(least, percent, weight), "key long, part long, slice int, doc_id long, root long, side long"), "open")
-    full = members.join(sigs, "doc_id").join(texts, "doc_id").select("key", "part", "slice", "doc_id", "root", "side", "sig", "text")
+    full = members.join(sigs, "doc_id").join(texts(members.select("doc_id").distinct()), "doc_id").select("key", "part", "slice", "doc_id", "root", "side", "sig", "text")
     full = full.repartition(parts, "key", "part", "slice").sortWithinPartitions("key", "part", "slice", "doc_id")
     return stage(full.mapInArrow(_joining(least, percent), "a long, b long"), "joining")
 
 
-def candidate_pairs(sigs: DataFrame, least: int = 34) -> tuple[DataFrame, DataFrame]:
-    """a < b and agree for the nearest doc_ids that meet in some tree, and the regions (key, doc_id and n, its members) of the first depth, which hold all deeper ones. least: four standard deviations
-    below the values that agree on average at a similarity of 0.75."""
+def candidate_pairs(sigs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """a < b and agree for the neighbours in some tree's order, and the regions (key, doc_id and n, its
+    members) of the first depth, which hold all deeper ones."""
     spark = sigs.sparkSession
     parts = parallelism(spark)
     sigs = sigs.select("doc_id", "sig")
@@ -314,8 +322,10 @@ def candidate_pairs(sigs: DataFrame, least: int = 34) -> tuple[DataFrame, DataFr
         dealt = met.withColumn("part", F.explode(F.when((split > 1) & bridge, F.sequence(F.lit(0), split - 1)).otherwise(F.array(part))))
         if regions is None:
             regions = met.select("key", "doc_id", "n")
-        dealt = dealt.join(sigs, "doc_id").select("key", "part", "doc_id", "sig")
-        found = dealt.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "doc_id").mapInArrow(_compare(least), "a long, b long, agree int")
+        first = F.col("tree") * (4 * (VALUES // TREES)) + 1  # a tree's order is the signature's, read from its own value on
+        order = F.concat(F.substr("sig", first), F.substr("sig", F.lit(1), first - 1)).alias("order")
+        dealt = dealt.join(sigs, "doc_id").select("key", "part", order, "doc_id")
+        found = dealt.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "order", "doc_id").mapInArrow(_compare(least), "a long, b long, agree int")
         pairs = found if pairs is None else pairs.unionByName(found)
         deeper = met.filter(F.col("n") > REGION).select("doc_id", "tree")
         if depth == DEPTHS[-1] or not deeper.limit(1).count():
@@ -375,37 +385,58 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _same_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows doc_id, number, set_key, sole, text those whose text has this set; sole: no other text can come."""
+    for b in batches:
+        ok = [sole or xxhash.xxh3_128_digest(shingles(t).tobytes()) == k for k, sole, t in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+        kept = b.filter(pa.array(ok, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([kept.column(i) for i in (0, 1, 4)], ["id", "doc_id", "text"])
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs."""
     small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_sigs = stage(signatures(slim), "signatures")
     usable = all_sigs.filter("doc_id is not null and n_shingles > 0")
-    classes = stage(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "classes")
-    sigs = classes.select(F.col("rep").alias("doc_id"), "sig", "n")
+    classes, _ = numbered(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), ["rep", "set_key"])
+    number = F.col("row_no").alias("doc_id")  # from here on classes go by their numbers
+    sigs = classes.select(number, "sig", "n")
+    # texts under one doc_id are linked by it
+    own = usable.select("doc_id", "set_key").distinct()
+    clash = stage(own.join(own.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).filter("lo <> hi").select("doc_id", "lo"), "doc_id").filter("set_key <> lo"), "clash")
+    numbers = classes.select("set_key", "row_no")
+    by_id = clash.join(numbers.toDF("set_key", "a"), "set_key").join(numbers.toDF("lo", "b"), "lo").select("a", "b")
+
+    def texts(ids: DataFrame) -> DataFrame:
+        several = clash.select(F.col("doc_id").alias("rep")).distinct().withColumn("_s", F.lit(True))
+        # merged at every size: the ids have no bound that a broadcast could rely on
+        wanted = classes.select(number, "rep", "set_key").join(ids.hint("merge"), "doc_id").join(several, "rep", "left").select(F.col("rep").alias("id"), "doc_id", "set_key", F.col("_s").isNull().alias("sole"))
+        met = wanted.hint("merge").join(slim.withColumnRenamed("doc_id", "id"), "id").select("id", "doc_id", "set_key", "sole", "text")
+        return met.mapInArrow(_same_set, "id long, doc_id long, text string").dropDuplicates(["id", "doc_id"]).select("doc_id", "text")
+
     pairs, regions = candidate_pairs(sigs)
-    # in a region that isn't split every document with a candidate has one among its nearest, so with the members
-    # of split ones these are all ends of later pairs too;
-    # merged at every size: the ids have no bound that a broadcast could rely on
-    split = regions.filter(F.col("n") > REGION).select("doc_id")
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(split).distinct()
-    texts = stage(slim.join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    held = stage(texts(ends), "texts")
     ordered = F.struct(F.col("agree"), (-F.col("other")).alias("other"))
     sided = pairs.select(F.col("a").alias("u"), F.col("b").alias("other"), "agree").unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("other"), "agree"))
     best = sided.groupBy("u").agg(F.max(ordered).alias("x")).select(F.least("u", -F.col("x.other")).alias("a"), F.greatest("u", -F.col("x.other")).alias("b")).distinct()
-    links = confirmed(best, texts, percent)
-    roots = components(links)
+    roots = components(confirmed(best, held, percent).unionByName(by_id))
     named = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     second = stage(named.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(best, ["a", "b"], "left_anti"), "second")
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(confirmed(second, texts, percent)))
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(confirmed(second, held, percent)))
     more = links_between(regions, sigs, roots, texts, percent)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    of_class = classes.select("set_key", "rep").join(roots, classes["rep"] == roots["node"], "left").select("set_key", F.coalesce("root", "rep").alias("component"))
+    # numbers ascend with the least doc_ids, so a component's least number has its least doc_id
+    least = classes.select(F.col("row_no").alias("root"), F.col("rep").alias("component"))
+    joined = classes.select("set_key", "row_no").join(roots, classes["row_no"] == roots["node"], "left").select("set_key", F.coalesce("root", "row_no").alias("root"))
+    of_class = joined.join(least, "root").select("set_key", "component")
     component = F.coalesce("component", "doc_id")
     return all_sigs.join(of_class, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of docs that are kept, with their own columns."""
-    gone = near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -116,7 +116,7 @@ def test_links_of_one_region_against_brute_force(spark, weight):
     near = {(i, j) for i in range(91) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
     sigs = neardup.signatures(docs).selectExpr("doc_id", "sig", "n_shingles n")
     regions = docs.selectExpr("1L key", "0 part", "doc_id")
-    got = neardup.links_between(regions, sigs, spark.createDataFrame([], "node long, root long"), docs, weight=weight)
+    got = neardup.links_between(regions, sigs, spark.createDataFrame([], "node long, root long"), lambda ids: docs.join(ids, "doc_id"), weight=weight)
     links = {(max(r), min(r)) for r in got.collect()}
     assert links <= near
 
@@ -157,6 +157,54 @@ def test_large_regions_against_brute_force(spark, monkeypatch):
     assert max(map(len, held.values())) < 20 and len(rows) < len(name) ** 2
 
 
+def brute_components(rows):
+    """The least doc_id that each one reaches, over all pairs of texts and over shared ids."""
+    sets = []
+    for i, t in rows:
+        w = brute_words(t)
+        sets.append((i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()))
+    root = {i: i for i, _ in rows}
+    for a, s in sets:
+        for b, t in sets:
+            if a < b and s and t and 100 * len(s & t) >= 75 * len(s | t) and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root = {k: lo if r == hi else r for k, r in root.items()}
+    return root
+
+
+def test_near_duplicates_of_shared_ids(spark):
+    """One doc_id on several texts links what is near to any of them."""
+    a, b, c = (prose(100) for _ in range(3))
+    rows = [(1, a), (2, b), (2, a + " xx"), (3, b + " yy"), (4, c), (4, None), (5, c), (5, c), (6, prose(80)), (6, prose(80))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {(r["doc_id"], r["component_id"]) for r in got} == set(brute_components(rows).items())
+    assert {r["doc_id"]: r["kept"] for r in got} == {1: True, 2: False, 3: False, 4: True, 5: False, 6: True}
+
+
+def test_large_family_against_brute_force(spark):
+    """A large family of near copies, with documents that are near to one member only."""
+    base = prose(120).split()
+    family = [edited(base, 2) for _ in range(1500)]
+    lone = [edited(t.split(), 3) for t in rng.sample(family, 60)]
+    rows = list(enumerate(family + lone + [prose(60) for _ in range(40)]))
+    rng.shuffle(rows)
+    texts = {i: set(neardup.shingles(t).tolist()) for i, t in rows}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for i in texts:
+        for j in range(i):
+            if find(i) != find(j) and 100 * len(texts[i] & texts[j]) >= 75 * len(texts[i] | texts[j]):
+                lo, hi = sorted((find(i), find(j)))
+                root[hi] = lo
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in texts}
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in neardup.components(links).collect()}
