@@ -51,27 +51,52 @@ def test_shards(spark, docs, rows):
     assert sharding.shard_rows(docs.limit(0)).count() == 0
 
 
-def test_repeats_against_brute_force(spark, docs, rows):
+def brute_repeats(rows):
     first = {}
-    for i, t, *_ in rows:
+    for i, t in rows:
         b = (t or "").encode()
         if i is not None:
             for p in range(len(b) - 49):
                 s = b[p : p + 50]
                 first[s] = min(first.get(s, i), i)
     want = []
-    for i, t, *_ in rows:
+    for i, t in rows:
         b, gone = (t or "").encode(), bytearray(len((t or "").encode()))
         for p in range(len(b) - 49):
             if i is not None and first.get(b[p : p + 50], i) < i:
                 gone[p : p + 50] = b"\1" * 50
         runs = sum(1 for x in bytes(gone).replace(b"\0", b" ").split(b" ") if x)
         want.append((i, len(b), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest()))
+    return sorted(want, key=str)
+
+
+def test_repeats_against_brute_force(spark, docs, rows):
     got = [tuple(r) for r in substrings.remove_repeats(docs, chunk_bytes=4000).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sorted(got, key=str) == brute_repeats([(i, t) for i, t, *_ in rows])
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk_bytes", [2000, 1 << 20])
+def test_repeats_of_shared_ids(spark, chunk_bytes):
+    """Repeated rows that lose bytes, one doc_id on several texts, and a passage that most documents have."""
+    a, common = prose(60), prose(14)
+    own = [(i, f"{prose(rng.randint(1, 12))} {common} {prose(rng.randint(1, 12))}") for i in range(100, 220)]
+    some = [(1, a), (2, a + " xyz"), (2, a + " xyz"), (2, prose(30) + a[40:200]), (2, a), (3, a[30:160] + prose(20)), (3, "short"), (3, None), (2, a[30:160] + prose(20))]
+    rows = [*some, *own, own[3], own[3], (own[5][0], own[7][1]), (None, a), (None, a)]
+    rng.shuffle(rows)
+    got = [tuple(r) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), chunk_bytes=chunk_bytes).collect()]
+    assert sorted(got, key=str) == brute_repeats(rows)
+
+
+def test_bucket_pointers_against_brute_force():
+    g = np.random.default_rng(3)
+    ctx = np.concatenate([g.integers(97, 99, (300, 80)), np.repeat(g.integers(97, 123, (20, 80)), 15, axis=0)]).astype(np.uint8)
+    ctx[300:, 70:] = g.integers(97, 99, (300, 10))
+    got = substrings.bucket_pointers(ctx).ravel().tolist()
+    strings = [bytes(r[x : x + 50]) for r in ctx for x in range(31)]
+    assert len(set(zip(got, strings))) == len(set(got)) == len(set(strings))
+
+
 def test_near_duplicates_against_brute_force(spark, docs, rows):
     sets = {}
     for i, t, *_ in rows:
