@@ -55,7 +55,7 @@ def page_results(spark: SparkSession, d: str) -> DataFrame:
 _ODD_SQL = ", ".join(f"('odd', {i}, '{'' if i == 6 else f'Guide {i}'}', '{u}', 'learn', 0.5)" for i, u in enumerate(_ODD_URLS))
 _RESULTS = f"""results AS (
   SELECT regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]*)', 1) AS topic, CAST(page_id AS INTEGER) AS position, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, url,
-    substring(regexp_replace(html, '<[^>]*>', ' ', 'g'), 1, 400) AS snippet, (page_id % 100) / 100.0::DOUBLE AS provider_score FROM pages
+    regexp_replace(html, '<[^>]*>', ' ', 'g') AS snippet, (page_id % 100) / 100.0::DOUBLE AS provider_score FROM pages
   UNION ALL SELECT * FROM (VALUES {_ODD_SQL}) v(topic, position, title, url, snippet, provider_score))"""
 _STRIP = lambda x: f"regexp_replace({x}, '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g')"
 _RX = r"'^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]+)([^?#]*)'"
@@ -232,8 +232,8 @@ def assigned_reading_lookup(spark, d):
 
 
 @query("""WITH a AS (SELECT p_size AS topic_id, p_partkey AS page_id, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS turn, count(*) OVER (PARTITION BY p_size) AS n FROM part),
-stored AS (SELECT o_custkey AS topic_id, CAST(o_orderdate AS DATE) AS reading_date, min(o_orderkey) AS id, min_by(o_orderkey % 200 + 1, o_orderkey) AS page_id FROM orders WHERE o_custkey <= 50 GROUP BY 1, 2),
-wanted AS (SELECT c_custkey AS topic_id, CAST(d AS DATE) AS reading_date FROM customer, unnest(generate_series(DATE '1995-01-01', DATE '1995-03-01', INTERVAL 1 DAY)) u(d) WHERE c_custkey <= 60),
+stored AS (SELECT o_custkey AS topic_id, CAST(o_orderdate AS DATE) AS reading_date, min(o_orderkey) AS id, min_by(o_orderkey % 200 + 1, o_orderkey) AS page_id FROM orders GROUP BY 1, 2),
+wanted AS (SELECT c_custkey AS topic_id, CAST(d AS DATE) AS reading_date FROM customer, unnest(generate_series(DATE '1995-01-01', DATE '1995-03-01', INTERVAL 1 DAY)) u(d)),
 missing AS (SELECT w.* FROM wanted w ANTI JOIN stored s USING (topic_id, reading_date) JOIN customer c ON c.c_custkey = w.topic_id WHERE c_mktsegment = 'BUILDING'),
 made AS (SELECT m.topic_id, m.reading_date, a.page_id FROM missing m JOIN a ON a.topic_id = m.topic_id AND a.turn = date_diff('day', DATE '1970-01-01', m.reading_date) % a.n)
 SELECT id, topic_id, reading_date, page_id FROM stored UNION ALL
@@ -409,7 +409,7 @@ def upsert_page_import(spark, d):
     return catalog.put_import_pages(stored_pages(spark, d), page_delta(spark, d), NOW).select("id", "topic_id", "title", "url", "reading_order", "active", "difficulty")
 
 
-@query(f"WITH {_STORED} SELECT id, topic_id, CASE WHEN topic_id <= 10 THEN CAST(-id AS INTEGER) ELSE reading_order END AS reading_order FROM st")
+@query(f"WITH {_STORED} SELECT id, topic_id, CAST(-id AS INTEGER) AS reading_order FROM st")
 def shift_reading_order(spark, d):
     p = stored_pages(spark, d)
     return catalog.shift_orders(p, p.filter("topic_id <= 10").select("topic_id")).select("id", "topic_id", "reading_order")
@@ -447,7 +447,7 @@ def probes(spark, d):
     )
 
 
-_HEALTH = f"""{_STORED}, pr AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN 404 WHEN p_partkey % 10 = 0 THEN NULL ELSE 200 + p_partkey % 5 END AS code, CASE WHEN p_partkey % 8 = 2 THEN 'https://moved.example.com/' || p_partkey END AS final_url, p_partkey % 10 = 0 AS bad FROM part WHERE p_partkey % 2 = 0),
+_HEALTH = f"""{_STORED}, pr AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 0 THEN 404 WHEN p_partkey % 10 = 0 THEN NULL ELSE 200 + p_partkey % 5 END AS code, CASE WHEN p_partkey % 8 = 2 THEN 'https://moved.example.com/' || p_partkey END AS final_url, p_partkey % 10 = 0 AS bad FROM part),
 h AS (SELECT st.*, pr.id IS NOT NULL AS probed, pr.final_url, coalesce(code BETWEEN 200 AND 399, false) AND NOT coalesce(bad, false) AS good FROM st LEFT JOIN pr USING (id))"""
 
 
@@ -485,7 +485,7 @@ def seed_validation_report(spark, d):
     return catalog.seed_faults(seeds(spark, d))
 
 
-@query("SELECT CAST(1 AS BIGINT) AS id, 'brand-13' AS topic, 'completed' AS status, CAST(count(*) AS INTEGER) AS pages_found, CAST(count(*) AS INTEGER) AS pages_imported FROM part WHERE p_brand = 'Brand#13'")
+@query("WITH s AS (SELECT CASE WHEN p_brand LIKE '%1' THEN p_brand ELSE lower(replace(p_brand, '#', '-')) END AS topic, CAST(count(*) AS INTEGER) AS n FROM part GROUP BY 1) SELECT row_number() OVER (ORDER BY topic) AS id, topic, 'completed' AS status, n AS pages_found, n AS pages_imported FROM s")
 def import_ledger(spark, d):
     empty = spark.createDataFrame([], "id long, topic string, status string, started_at timestamp_ntz, completed_at timestamp_ntz, pages_found int, pages_imported int, error string")
     return catalog.log_import(empty, seeds(spark, d).filter("topic = 'brand-13'"), "completed", "", NOW).select("id", "topic", "status", "pages_found", "pages_imported")
@@ -509,7 +509,7 @@ def encode_request_json(spark, d):
     return body.select("c_custkey", back["query"].alias("query"), back["max_results"].alias("max_results"), F.size(back["exclude_domains"]).alias("n_excluded"))
 
 
-@query("SELECT r_regionkey AS version, r_name AS name FROM region WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation WHERE n_nationkey < 2)")
+@query("SELECT DISTINCT p_size AS version, 'size ' || p_size AS name FROM part WHERE p_size NOT IN (SELECT n_nationkey + 1 FROM nation)")
 def pending_migrations(spark, d):
     from ..sources.store import pending
 
