@@ -26,8 +26,12 @@ def display_name(x: Column, fallback: Column | None = None) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))), " ")
 
 
+#: Fixed value: what a search asks for beside the topic's name.
+QUERY_SUFFIX = " specific concept tutorial guide deep dive documentation"
+
+
 def query_text(name: Column) -> Column:
-    return F.concat(name, F.lit(" specific concept tutorial guide deep dive documentation"))
+    return F.concat(name, F.lit(QUERY_SUFFIX))
 
 
 def url_scheme(url: Column) -> Column:
@@ -35,8 +39,13 @@ def url_scheme(url: Column) -> Column:
 
 
 def url_host(url: Column) -> Column:
-    """Host with its port and user part, in lower case; empty for a URL that isn't absolute."""
-    return F.lower(F.regexp_extract(strip(url), _URL, 2))
+    """Host with its port, without a user part, in lower case; empty for a URL that isn't absolute."""
+    return F.lower(F.regexp_replace(F.regexp_extract(strip(url), _URL, 2), "^.*@", ""))
+
+
+def url_login(url: Column) -> Column:
+    """The user part with its @, as it is written."""
+    return F.regexp_extract(F.regexp_extract(strip(url), _URL, 2), "^.*@", 0)
 
 
 def url_path(url: Column) -> Column:
@@ -48,10 +57,11 @@ def url_valid(url: Column) -> Column:
 
 
 def normalize_url(url: Column) -> Column:
-    """Scheme and host in lower case, no query, fragment or trailing slash but for the root's; null if invalid."""
+    """Scheme and host in lower case, no query, fragment or trailing slash but for the root's;
+    a user part stays; null if invalid."""
     path = url_path(url)
     tail = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
-    return F.when(url_valid(url), F.concat(url_scheme(url), F.lit("://"), url_host(url), tail))
+    return F.when(url_valid(url), F.concat(url_scheme(url), F.lit("://"), url_login(url), url_host(url), tail))
 
 
 def bare_host(host: Column) -> Column:
@@ -83,6 +93,20 @@ def at(now: datetime) -> Column:
     return F.lit(now).cast("timestamp_ntz") if now.tzinfo is None else F.lit(now.replace(tzinfo=None)).cast("timestamp_ntz")
 
 
+def format_time(t: Column) -> Column:
+    """A UTC time as YYYY-MM-DD HH:MM:SS."""
+    return F.date_format(t, "yyyy-MM-dd HH:mm:ss")
+
+
+def parse_time(text: Column) -> Column:
+    """The time that format_time wrote; null unless written just so."""
+    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss"))).cast("timestamp_ntz")
+
+
+def day_start(t: Column) -> Column:
+    return F.date_trunc("DAY", t).cast("timestamp_ntz")
+
+
 def is_slug(x: Column) -> Column:
     return x.rlike("^[a-z0-9][a-z0-9-]*$")
 

@@ -14,7 +14,7 @@ from ..schemas import BLOCKED_DOMAINS
 
 def usable(results: DataFrame) -> DataFrame:
     """Rows with a title and an absolute http(s) URL, trimmed; rank is the provider's 1-based position."""
-    kept = results.withColumn("title", strip(F.col("title"))).filter((F.col("title") != "") & (strip(F.col("url")) != "") & url_valid(F.col("url")))
+    kept = results.withColumn("title", strip(F.col("title"))).withColumn("snippet", strip(F.coalesce("snippet", F.lit("")))).filter((F.col("title") != "") & (strip(F.col("url")) != "") & url_valid(F.col("url")))
     return kept.withColumn("host", url_host(F.col("url"))).withColumn("url", normalize_url(F.col("url"))).withColumn("rank", (F.col("position") + 1).cast("int"))
 
 

@@ -1,4 +1,4 @@
-"""Snapshot upserts: pure functions of a state and a delta. Keys of a delta must be unique; see last_of."""
+"""Snapshot upserts: pure functions of a state and a delta. A delta with a key twice raises; see last_of."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import at, is_slug, strip, url_host, url_scheme
+from ..numbering import number_rows
 from ..schemas import InvalidSeed
 
 
@@ -20,22 +21,30 @@ def last_of(delta: DataFrame, keys: list[str], order: str) -> DataFrame:
 def upsert(state: DataFrame, delta: DataFrame, keys: list[str], insert: dict[str, Column], update: dict[str, Column], new_id: str = "id") -> DataFrame:
     """State after delta. insert and update give column expressions over o.* (state) and d.* (delta); a
     column that update lacks is kept. New rows get ids after the greatest, in the order of the keys."""
+    delta = unique(delta, keys)
     top = state.agg(F.coalesce(F.max(new_id), F.lit(0)).alias("_top"))
-    fresh = delta.join(state.select(*keys), keys, "left_anti")
-    ids = fresh.select(*keys, F.row_number().over(Window.orderBy(*keys)).alias("_n")).crossJoin(F.broadcast(top)).select(*keys, (F.col("_top") + F.col("_n")).cast("long").alias("_id"))
-    d = delta.join(ids, keys, "left").alias("d")
-    o = state.withColumn("_here", F.lit(True)).alias("o")
-    on = [F.col(f"o.{k}") == F.col(f"d.{k}") for k in keys]
-    both = o.join(d, on, "full_outer")
-    there, touched = F.col("o._here").isNotNull(), F.coalesce(*[F.col(f"d.{k}") for k in keys]).isNotNull()
+    fresh = number_rows(delta.join(state.select(*keys), keys, "left_anti"), keys, "_n").crossJoin(F.broadcast(top)).alias("d")  # top is one row
     kinds = dict(state.dtypes)
+    kept = state.alias("o").join(delta.withColumn("_touched", F.lit(True)).alias("d"), [F.col(f"o.{k}") == F.col(f"d.{k}") for k in keys], "left")
 
-    def column(c: str) -> Column:
-        new = F.col("d._id") if c == new_id else insert.get(c, F.col(f"d.{c}") if c in delta.columns else F.lit(None))
-        old = F.when(touched, update[c]).otherwise(F.col(f"o.{c}")) if c in update else F.col(f"o.{c}")
-        return F.when(there, old).otherwise(new).cast(kinds[c]).alias(c)
+    def old(c: str) -> Column:
+        return (F.when(F.col("d._touched"), update[c]).otherwise(F.col(f"o.{c}")) if c in update else F.col(f"o.{c}")).cast(kinds[c]).alias(c)
 
-    return both.select(*[column(c) for c in state.columns])
+    def new(c: str) -> Column:
+        made = F.col("_top") + F.col("d._n") if c == new_id else insert.get(c, F.col(f"d.{c}") if c in delta.columns else F.lit(None))
+        return made.cast(kinds[c]).alias(c)
+
+    return kept.select(*map(old, state.columns)).unionByName(fresh.select(*map(new, state.columns)))
+
+
+def unique(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows, but a key that occurs twice raises when it is read."""
+    others = [c for c in rows.columns if c not in keys]
+    if not others:
+        others, rows = ["_none"], rows.withColumn("_none", F.lit(True))
+    one = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(*others)).alias("_row"))
+    sound = F.when(F.col("_n") == 1, F.col("_row")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("key occurs twice:"), *[F.col(k).cast("string") for k in keys])))
+    return one.select(*keys, sound.alias("_row")).select(*keys, "_row.*").drop("_none")
 
 
 def duplicates(state: DataFrame, keys: list[str]) -> DataFrame:
@@ -157,13 +166,35 @@ def import_seed(topics: DataFrame, pages: DataFrame, imports: DataFrame, seed: D
 def log_import(imports: DataFrame, seed: DataFrame, status: str, error: str, now: datetime) -> DataFrame:
     top = imports.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     n = F.coalesce(F.size("pages"), F.lit(0))
-    row = seed.crossJoin(F.broadcast(top)).select(
-        (F.col("top") + 1).cast("long").alias("id"), "topic", F.lit(status).alias("status"), at(now).alias("started_at"), at(now).alias("completed_at"),
+    row = number_rows(seed, ["topic"], "_n").crossJoin(F.broadcast(top)).select(  # top is one row
+        (F.col("top") + F.col("_n")).cast("long").alias("id"), "topic", F.lit(status).alias("status"), at(now).alias("started_at"), at(now).alias("completed_at"),
         n.alias("pages_found"), (n if status == "completed" else F.lit(0)).alias("pages_imported"), F.lit(error).alias("error"),
     )
     return imports.unionByName(row.select(*imports.columns))
 
 
+def try_import(topics: DataFrame, pages: DataFrame, imports: DataFrame, seed: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame, DataFrame, InvalidSeed | None]:
+    """As import_seed; a faulty document changes nothing but for a failed row in imports."""
+    try:
+        check_seed(seed)
+    except InvalidSeed as e:
+        return topics, pages, log_import(imports, seed, "failed", str(e), now), e
+    return *import_seed(topics, pages, imports, seed, now), None
+
+
+def delete_topics(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """The tables without the topics of gone (id) and all that belongs to them; a result that stays is
+    no longer stored as a page that goes."""
+    ids = gone.select(F.col("id").alias("topic_id")).distinct()
+    lost = tables["pages"].join(ids, "topic_id", "left_semi").select(F.col("id").alias("stored_as_page_id"), F.lit(True).alias("_lost"))
+    out = {n: df.join(ids, "topic_id", "left_anti").select(*df.columns) if "topic_id" in df.columns else df for n, df in tables.items()}
+    out["topics"] = tables["topics"].join(gone.select("id"), "id", "left_anti").select(*tables["topics"].columns)
+    results = out["topic_search_results"]
+    cleared = F.when(F.col("_lost").isNull(), F.col("stored_as_page_id")).alias("stored_as_page_id")
+    out["topic_search_results"] = results.join(lost, "stored_as_page_id", "left").select(*[cleared if c == "stored_as_page_id" else c for c in results.columns])
+    return out
+
+
 def check_seed(seed: DataFrame) -> None:
     row = seed_faults(seed).filter("fault is not null").first()
     if row is not None:

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import at
+from ..functions.scalars import at, day_start
 from ..schemas import COUNTED_STATUSES, RUNS
 
 STALE_ERROR = "stale running search timed out"
@@ -25,7 +25,7 @@ def runs_by_day(runs: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def daily_limit_reached(runs: DataFrame, now: datetime, limit: int = 20) -> bool:
-    start = F.date_trunc("DAY", at(now)).cast("timestamp_ntz")
+    start = day_start(at(now))
     return runs.filter(F.col("status").isin(COUNTED_STATUSES) & (F.col("started_at") >= start)).count() >= limit
 
 
@@ -84,6 +84,10 @@ def insert_run(runs: DataFrame, run_id: int, topic_id: int, provider: str, query
     return runs.unionByName(runs.sparkSession.createDataFrame([row], RUNS).select(*runs.columns))
 
 
+def set_stage(runs: DataFrame, run_id: int, stage: str) -> DataFrame:
+    return set_run(runs, run_id, {"stage": stage})
+
+
 def set_run(runs: DataFrame, run_id: int, values: dict[str, object]) -> DataFrame:
     kinds = dict(runs.dtypes)
     here = F.col("id") == run_id

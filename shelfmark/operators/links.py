@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import at
+from ..numbering import shared_path
+from ..sources.edges import probe_links
 
 THRESHOLD = 3
 
@@ -35,7 +38,7 @@ def apply_probes(pages: DataFrame, probes: DataFrame, now: datetime, threshold:
     conflict = F.col("_k").isNotNull()
     failures = F.when(F.col("_bad"), F.col("verification_failures") + 1).when(F.col("_good"), F.lit(0)).otherwise(F.col("verification_failures"))
     off = F.col("_bad") & (failures >= threshold)
-    reason = F.coalesce(F.nullif(F.col("probe_error"), F.lit("")), F.concat(F.lit("http status "), F.col("http_status")), F.lit("no response"))
+    reason = F.coalesce(F.nullif(F.col("probe_error"), F.lit("")), F.concat(F.lit("unexpected status "), F.col("http_status")), F.lit("no response"))
     changed = {
         "url": F.when(F.col("_moved") & ~conflict, F.col("final_url")).otherwise(F.col("url")),
         "verification_failures": failures.cast("int"),
@@ -47,6 +50,16 @@ def apply_probes(pages: DataFrame, probes: DataFrame, now: datetime, threshold:
     return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in pages.columns], outcome.alias("outcome"))
 
 
+def validate(pages: DataFrame, now: datetime, threshold: int = THRESHOLD, probe: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Scan the active pages, probe them, and apply what was found: the pages afterwards, with outcome,
+    and the summary. The probes are made once and written, so both results tell of the same answers."""
+    found = (probe or probe_links)(active_pages(pages))
+    path = shared_path(pages, "probes")
+    found.write.parquet(path)
+    after = apply_probes(pages, pages.sparkSession.read.schema(found.schema).parquet(path), now, threshold if threshold > 0 else THRESHOLD)
+    return after, summary(after)
+
+
 def summary(outcomes: DataFrame) -> DataFrame:
     o = F.col("outcome")
     return outcomes.agg(

@@ -36,13 +36,16 @@ def reviewed(candidates: DataFrame, reviews: DataFrame, min_score: int = 65) ->
     judged twice both rows stay."""
     rows = candidates.drop("score").withColumnRenamed("candidate_index", "index").join(reviews, ["topic", "index"])
     rows = rows.withColumn("accepted", passes(F.col("should_store"), F.col("score"), F.col("page_type"), F.col("url"), min_score))
+    rows = rows.withColumn("page_type", strip(F.col("page_type")))
     rows = rows.withColumn("reviewer_reason", sanitize_ascii(truncate_bytes(F.col("reason"), 500))).drop("reason")
     order = Window.partitionBy("topic").orderBy(F.desc("accepted"), F.desc("score"), F.asc("rank"), F.asc("review_position"))
     return rows.withColumn("review_order", F.row_number().over(order))
 
 
 def capped(rows: DataFrame, most: int, order: str = "review_order", by: str = "topic") -> DataFrame:
-    """Only the first `most` accepted rows of each topic stay accepted."""
+    """Only the first `most` accepted rows of each topic stay accepted; below 1 there is no cap."""
+    if most < 1:
+        return rows
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("accepted", F.col("accepted") & (F.sum(F.col("accepted").cast("int")).over(w) <= most))
 

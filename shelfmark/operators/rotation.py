@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import at, epoch_day
+from ..numbering import number_rows
 from ..schemas import InvalidDate, NoActivePages, ReadingNotFound, TopicNotFound
 
 
@@ -42,7 +43,7 @@ def get_or_create(assignments: DataFrame, wanted: DataFrame, topics: DataFrame,
     missing = wanted.select("topic_id", "reading_date").distinct().join(assignments, ["topic_id", "reading_date"], "left_anti").join(active, "topic_id", "left_semi")
     made = rotation(pages, missing)
     top = assignments.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    numbered = made.withColumn("_n", F.row_number().over(Window.orderBy("topic_id", "reading_date"))).crossJoin(F.broadcast(top))
+    numbered = number_rows(made, ["topic_id", "reading_date"], "_n").crossJoin(F.broadcast(top))  # one row
     new = numbered.select((F.col("top") + F.col("_n")).cast("long").alias("id"), "topic_id", "reading_date", "page_id", at(now).alias("created_at"))
     return assignments.select("id", "topic_id", "reading_date", "page_id", "created_at").unionByName(new)
 

@@ -27,8 +27,8 @@ def index_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc("updated_at"), "name", "slug")
 
 
-def evaluations(results: DataFrame, topic_id: int) -> DataFrame:
-    rows = results.filter(F.col("topic_id") == topic_id)
+def evaluations(results: DataFrame, topic_id: int | None = None) -> DataFrame:
+    rows = results if topic_id is None else results.filter(F.col("topic_id") == topic_id)
     shown = rows.select(
         "id", "search_run_id", "title", "url", F.when(F.col("source") == "", "unknown source").otherwise(F.col("source")).alias("source"), "rank",
         F.coalesce("reviewer_score", F.lit(0)).alias("reviewer_score"), "page_type", "reviewer_reason", F.when(F.col("accepted"), "Accepted").otherwise("Rejected").alias("verdict"), "accepted",
@@ -36,8 +36,18 @@ def evaluations(results: DataFrame, topic_id: int) -> DataFrame:
     return shown.orderBy(F.desc("search_run_id"), F.desc("accepted"), F.desc("reviewer_score"), "rank", "id")
 
 
-def topic_status(topics: DataFrame, runs: DataFrame, slug: str) -> DataFrame:
-    t = topics.filter((F.col("slug") == slug) & (F.col("status") != "disabled")).withColumnRenamed("id", "topic_id")
+def evaluations_of(topics: DataFrame, results: DataFrame, runs: DataFrame, slug: str) -> tuple[DataFrame, DataFrame]:
+    """The header of a topic's evaluations (slug, name, status, label, n_evaluated, n_accepted), without a
+    row if there is no such topic, and the evaluations."""
+    own = topics.filter((F.col("slug") == slug) & (F.col("status") != "disabled"))
+    rows = results.join(own.select(F.col("id").alias("topic_id")), "topic_id", "left_semi")
+    head = topic_index(own, rows, runs).select("slug", "name", "status", "label", F.col("n_results").alias("n_evaluated"), "n_accepted")
+    return head, evaluations(rows)
+
+
+def topic_status(topics: DataFrame, runs: DataFrame, slug: str | None = None) -> DataFrame:
+    """The status of one topic, or of every topic."""
+    t = topics.filter("status <> 'disabled'" if slug is None else (F.col("slug") == slug) & (F.col("status") != "disabled")).withColumnRenamed("id", "topic_id")
     return t.join(latest_runs(runs), "topic_id", "left").select("slug", "name", "status", status_label(F.col("status"), F.col("run_status"), F.col("run_stage")).alias("label"), F.col("status").isin("queued", "failed").alias("can_process"))
 
 
@@ -61,5 +71,6 @@ def exact_topic(topics: DataFrame, term: str) -> DataFrame:
 
 
 def as_json(rows: DataFrame) -> DataFrame:
-    """One row with a JSON array; of no rows, an empty one."""
+    """One row with a JSON array; of no rows, an empty one. The array is made in one task: rows are those
+    of a listing, with a limit."""
     return rows.agg(F.coalesce(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("slug"), F.col("name"))))), F.lit("[]")).alias("body"))

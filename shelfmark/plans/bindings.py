@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import scoring
+from ..numbering import number_rows
 from ..operators import candidates, catalog, ledger, links, review, rotation, views
 
 NOW = datetime(2024, 1, 15, 12)
@@ -37,7 +38,7 @@ def T(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-_ODD_URLS = ["HTTP://WWW.Example.COM/A.PDF?x=1#y", "ftp://a.b/c", "no url", "https://h.example.com/", "https://h.example.com", " ", "https://x.example.com/a/b///"]
+_ODD_URLS = ["HTTP://WWW.Example.COM/A.PDF?x=1#y", "ftp://a.b/c", "no url", "https://h.example.com/", "https://h.example.com", " ", "https://x.example.com/a/b///", "https://Me:pw@example.org/in/side/", "https://me@H.example.com/a", "https://me@/a"]
 
 
 def page_results(spark: SparkSession, d: str) -> DataFrame:
@@ -61,10 +62,11 @@ _STRIP = lambda x: f"regexp_replace({x}, '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$'
 _RX = r"'^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]+)([^?#]*)'"
 _USABLE = f"""{_RESULTS}, parts AS (
   SELECT *, lower(regexp_extract(trim(url), {_RX}, 1)) AS scheme, lower(regexp_extract(trim(url), {_RX}, 2)) AS host, regexp_extract(trim(url), {_RX}, 3) AS path FROM results),
+authority AS (SELECT * REPLACE (regexp_replace(host, '^.*@', '') AS host), regexp_extract(regexp_extract(trim(url), {_RX}, 2), '^.*@') AS login FROM parts),
 usable AS (
-  SELECT topic, position, {_STRIP('title')} AS title, scheme || '://' || host || CASE WHEN path = '/' THEN path ELSE regexp_replace(path, '/+$', '') END AS url, snippet, provider_score, host, CAST(position + 1 AS INTEGER) AS rank,
+  SELECT topic, position, {_STRIP('title')} AS title, scheme || '://' || login || host || CASE WHEN path = '/' THEN path ELSE regexp_replace(path, '/+$', '') END AS url, {_STRIP('snippet')} AS snippet, provider_score, host, CAST(position + 1 AS INTEGER) AS rank,
     CASE WHEN path = '/' THEN path ELSE regexp_replace(path, '/+$', '') END AS path
-  FROM parts WHERE {_STRIP('title')} <> '' AND scheme IN ('http', 'https') AND host <> '')"""
+  FROM authority WHERE {_STRIP('title')} <> '' AND scheme IN ('http', 'https') AND host <> '')"""
 _BARE = "regexp_replace(host, '^www\\.', '')"
 _IS_BLOCKED = "(" + " OR ".join(f"{_BARE} = '{b}' OR {_BARE} LIKE '%.{b}'" for b in BLOCKED) + " OR lower(path) LIKE '%.pdf')"
 
@@ -88,8 +90,8 @@ scored AS (SELECT *, {_SCORE} AS score FROM firsts),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY score DESC, rank) AS INTEGER) AS candidate_index FROM scored)"""
 
 
-@query(f"WITH {_RESULTS}, parts AS (SELECT *, lower(regexp_extract(trim(url), {_RX}, 1)) AS scheme, lower(regexp_extract(trim(url), {_RX}, 2)) AS host, regexp_extract(trim(url), {_RX}, 3) AS path FROM results) "
-       "SELECT topic, position, host, CASE WHEN scheme IN ('http','https') AND host <> '' THEN scheme || '://' || host || CASE WHEN path = '/' THEN path ELSE regexp_replace(path, '/+$', '') END END AS normalized FROM parts")
+@query(f"WITH {_RESULTS}, parts AS (SELECT *, lower(regexp_extract(trim(url), {_RX}, 1)) AS scheme, regexp_replace(lower(regexp_extract(trim(url), {_RX}, 2)), '^.*@', '') AS host, regexp_extract(regexp_extract(trim(url), {_RX}, 2), '^.*@') AS login, regexp_extract(trim(url), {_RX}, 3) AS path FROM results) "
+       "SELECT topic, position, host, CASE WHEN scheme IN ('http','https') AND host <> '' THEN scheme || '://' || login || host || CASE WHEN path = '/' THEN path ELSE regexp_replace(path, '/+$', '') END END AS normalized FROM parts")
 def normalize_url(spark, d):
     return page_results(spark, d).select("topic", "position", S.url_host(F.col("url")).alias("host"), S.normalize_url(F.col("url")).alias("normalized"))
 
@@ -241,9 +243,9 @@ SELECT CAST((SELECT max(id) FROM stored) + row_number() OVER (ORDER BY topic_id,
 def get_or_create_reading(spark, d):
     pages = T(spark, d, "part").select(F.col("p_size").cast("long").alias("topic_id"), F.col("p_partkey").alias("id"), F.col("p_partkey").alias("reading_order"), F.lit(True).alias("active"))
     topics = T(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_mktsegment") == "BUILDING", "active").otherwise("failed").alias("status"))
-    stored = rotation.first_writers(assignments(spark, d).filter("topic_id <= 50")).withColumn("created_at", S.at(NOW))
+    stored = rotation.first_writers(assignments(spark, d)).withColumn("created_at", S.at(NOW))
     span = F.explode(F.sequence(F.lit("1995-01-01").cast("date"), F.lit("1995-03-01").cast("date")))
-    wanted = topics.filter("id <= 60").select(F.col("id").alias("topic_id"), span.alias("reading_date"))
+    wanted = topics.select(F.col("id").alias("topic_id"), span.alias("reading_date"))
     return rotation.get_or_create(stored, wanted, topics, pages, NOW).drop("created_at")
 
 
@@ -297,8 +299,8 @@ def topic_evaluations(spark, d):
         F.when(F.col("user_id") % 3 == 0, "").otherwise("s").alias("source"), (F.col("event_id") % 10).alias("rank"), F.when(F.col("event_type") != "error", (F.col("event_id") % 101).cast("int")).alias("reviewer_score"),
         F.lit("").alias("page_type"), F.lit("").alias("reviewer_reason"), (F.col("event_type") == "purchase").alias("accepted"),
     )
-    order = Window.orderBy(F.desc("search_run_id"), F.desc("accepted"), F.desc("reviewer_score"), "rank", "id")
-    return views.evaluations(rows, 1).select("id", "search_run_id", "source", "reviewer_score", "verdict", F.row_number().over(order).alias("place"))
+    order = [-F.col("search_run_id"), ~F.col("accepted"), -F.col("reviewer_score"), "rank", "id"]
+    return number_rows(views.evaluations(rows, 1), order, "place").select("id", "search_run_id", "source", "reviewer_score", "verdict", F.col("place").cast("int"))
 
 
 @query(f"WITH {_TOPICS} SELECT slug, name FROM topics WHERE status = 'active' AND (slug LIKE '%7_%' OR lower(name) LIKE '%7_%')")
@@ -412,7 +414,7 @@ def upsert_page_import(spark, d):
 @query(f"WITH {_STORED} SELECT id, topic_id, CAST(-id AS INTEGER) AS reading_order FROM st")
 def shift_reading_order(spark, d):
     p = stored_pages(spark, d)
-    return catalog.shift_orders(p, p.filter("topic_id <= 10").select("topic_id")).select("id", "topic_id", "reading_order")
+    return catalog.shift_orders(p, p.select("topic_id")).select("id", "topic_id", "reading_order")
 
 
 @query(f"WITH {_STORED}, {_PDELTA} SELECT id, topic_id, active AND (topic_id NOT IN (SELECT topic_id FROM de) OR de.title IS NOT NULL) AS active FROM st LEFT JOIN de USING (topic_id, url)")
@@ -442,7 +444,7 @@ def upsert_reviewed(spark, d):
 
 def probes(spark, d):
     k = F.col("p_partkey")
-    return T(spark, d, "part").filter("p_partkey % 2 = 0").select(
+    return T(spark, d, "part").select(
         k.alias("page_id"), F.when(k % 6 == 0, 404).when(k % 10 == 0, None).otherwise(200 + k % 5).cast("int").alias("http_status"), F.when(k % 8 == 2, F.concat(F.lit("https://moved.example.com/"), k.cast("string"))).alias("final_url"), F.when(k % 10 == 0, "timeout").alias("error")
     )
 
@@ -488,7 +490,7 @@ def seed_validation_report(spark, d):
 @query("WITH s AS (SELECT CASE WHEN p_brand LIKE '%1' THEN p_brand ELSE lower(replace(p_brand, '#', '-')) END AS topic, CAST(count(*) AS INTEGER) AS n FROM part GROUP BY 1) SELECT row_number() OVER (ORDER BY topic) AS id, topic, 'completed' AS status, n AS pages_found, n AS pages_imported FROM s")
 def import_ledger(spark, d):
     empty = spark.createDataFrame([], "id long, topic string, status string, started_at timestamp_ntz, completed_at timestamp_ntz, pages_found int, pages_imported int, error string")
-    return catalog.log_import(empty, seeds(spark, d).filter("topic = 'brand-13'"), "completed", "", NOW).select("id", "topic", "status", "pages_found", "pages_imported")
+    return catalog.log_import(empty, seeds(spark, d), "completed", "", NOW).select("id", "topic", "status", "pages_found", "pages_imported")
 
 
 @query("SELECT conv_id, turn, CAST(turn AS INTEGER) AS index, CAST(len(text) % 101 AS INTEGER) AS score, len(text) % 2 = 0 AS should_store FROM conversations")
@@ -513,8 +515,8 @@ def encode_request_json(spark, d):
 def pending_migrations(spark, d):
     from ..sources.store import pending
 
-    files = T(spark, d, "region").select(F.col("r_regionkey").alias("version"), F.col("r_name").alias("name"))
-    return pending(files, T(spark, d, "nation").filter("n_nationkey < 2").select(F.col("n_regionkey").alias("version")))
+    files = T(spark, d, "part").select(F.col("p_size").alias("version"), F.concat(F.lit("size "), "p_size").alias("name")).distinct()
+    return pending(files, T(spark, d, "nation").select((F.col("n_nationkey") + 1).alias("version")))
 
 
 @query("""WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1), '^/+|/+$', '', 'g') AS t FROM pages), s AS (SELECT page_id, string_split(t, '/') AS x FROM p)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -18,18 +19,30 @@ class Provider(Protocol):
         """topic-less candidates: position, title, url, snippet, provider_score."""
 
 
+@dataclass(frozen=True)
+class Answer:
+    """A review with the model that gave it and its tokens: input, output, total."""
+
+    rows: DataFrame | None
+    model: str = ""
+    tokens: tuple[int, int, int] = (0, 0, 0)
+
+
 class Reviewer(Protocol):
-    def review(self, topic: str, candidates: DataFrame) -> DataFrame:
+    def review(self, topic: str, candidates: DataFrame) -> DataFrame | Answer:
         """review_position, index, score, page_type, should_store, reason."""
 
 
+# The search request's fields beside query, max_results and exclude_domains.
+SEARCH_FIELDS = {
+    "search_depth": "basic", "topic": "general", "include_answer": False, "include_raw_content": False,
+    "include_images": False, "include_favicon": False, "include_usage": True,
+}
+
+
 def encode_requests(queries: DataFrame, max_results: int = 10) -> DataFrame:
     """Adds body, the request of each row's query."""
-    # The request's fields.
-    fields = {
-        "search_depth": F.lit("basic"), "topic": F.lit("general"), "max_results": F.lit(max_results), "include_answer": F.lit(False), "include_raw_content": F.lit(False),
-        "include_images": F.lit(False), "include_favicon": F.lit(False), "include_usage": F.lit(False), "exclude_domains": F.array(*[F.lit(x) for x in BLOCKED_DOMAINS]),
-    }
+    fields = {n: F.lit(v) for n, v in SEARCH_FIELDS.items()} | {"max_results": F.lit(max_results), "exclude_domains": F.array(*[F.lit(x) for x in BLOCKED_DOMAINS])}
     return queries.withColumn("body", F.to_json(F.struct("query", *[c.alias(n) for n, c in fields.items()])))
 
 
@@ -47,10 +60,11 @@ def decode_reviews(answers: DataFrame) -> DataFrame:
 
 
 def answer_text(answers: DataFrame) -> DataFrame:
-    """The texts of a nested answer (body: output[].content[].text), joined."""
-    parsed = F.from_json("body", "output array<struct<content:array<struct<text:string>>>>")
+    """An answer's output_text, or else the texts of its parts (output[].content[].text), joined."""
+    parsed = F.from_json("body", "output_text string, output array<struct<content:array<struct<text:string>>>>")
     texts = F.flatten(F.transform(parsed["output"], lambda o: F.transform(F.coalesce(o["content"], F.array().cast("array<struct<text:string>>")), lambda c: F.coalesce(c["text"], F.lit("")))))
-    return answers.withColumn("text", F.array_join(texts, ""))
+    plain = F.nullif(F.trim(parsed["output_text"]), F.lit(""))
+    return answers.withColumn("text", F.coalesce(plain, F.trim(F.array_join(texts, "")), F.lit("")))
 
 
 def probe_links(pages: DataFrame, timeout: float = 10.0) -> DataFrame:
