@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import scoring
 from ..numbering import number_rows
+from ..schemas import RUNS
 from ..operators import candidates, catalog, ledger, links, review, rotation, views
 
 NOW = datetime(2024, 1, 15, 12)
@@ -75,15 +77,17 @@ def _has(x: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains(lower({x}), '{w}')" for w in words) + ")"
 
 
-_P = scoring.POINTS
+# written out here, so that a wrong list or point in the operator shows
 _SCORE = f"""CAST(trunc(provider_score * 10) AS INTEGER)
-  + CASE WHEN {_has('title', scoring.TITLE_GOOD)} THEN {_P['title']} ELSE 0 END + CASE WHEN {_has('url', scoring.URL_GOOD)} THEN {_P['url']} ELSE 0 END
-  + CASE WHEN {_has('snippet', scoring.SNIPPET_GOOD)} THEN {_P['snippet']} ELSE 0 END
-  + CASE WHEN contains({_BARE}, 'docs.') OR contains({_BARE}, 'doc.') OR starts_with({_BARE}, 'developer.') OR starts_with({_BARE}, 'learn.') THEN {_P['docs_host']} ELSE 0 END
-  + CASE WHEN {_BARE} LIKE '%.org' THEN {_P['org']} ELSE 0 END
-  + CASE WHEN {_has('title', scoring.TITLE_BAD)} THEN {_P['bad_title']} ELSE 0 END + CASE WHEN {_has('url', scoring.URL_BAD)} THEN {_P['bad_url']} ELSE 0 END
-  + CASE WHEN url LIKE '%/' OR len(regexp_replace(url, '/$', '')) - len(replace(regexp_replace(url, '/$', ''), '/', '')) <= 2 THEN {_P['shallow']} ELSE 0 END
-  + CASE WHEN {_has('snippet', scoring.SNIPPET_BAD)} THEN {_P['stale']} ELSE 0 END"""
+  + CASE WHEN {_has('title', ['guide', 'tutorial', 'concept', 'deep dive', 'ownership', 'borrowing', 'lifetime', 'context', 'transaction', 'index'])} THEN 24 ELSE 0 END
+  + CASE WHEN {_has('url', ['/book', '/guide', '/learn', '/docs', '/doc', '/reference', '/tutorial', '/manual'])} THEN 20 ELSE 0 END
+  + CASE WHEN {_has('snippet', ['learn', 'guide', 'explain', 'concept', 'reference', 'documentation', 'tutorial'])} THEN 12 ELSE 0 END
+  + CASE WHEN contains({_BARE}, 'docs.') OR contains({_BARE}, 'doc.') OR starts_with({_BARE}, 'developer.') OR starts_with({_BARE}, 'learn.') THEN 24 ELSE 0 END
+  + CASE WHEN {_BARE} LIKE '%.org' THEN 10 ELSE 0 END
+  + CASE WHEN {_has('title', ['why ', 'gold standard', 'homepage', 'home page', 'best ', 'learn rust', 'programming language'])} THEN -30 ELSE 0 END
+  + CASE WHEN {_has('url', ['web.mit.edu', '/releases', '/news', '/blog', '/tags', '/search'])} THEN -30 ELSE 0 END
+  + CASE WHEN url LIKE '%/' OR len(regexp_replace(url, '/$', '')) - len(replace(regexp_replace(url, '/$', ''), '/', '')) <= 2 THEN -10 ELSE 0 END
+  + CASE WHEN {_has('snippet', ['mirror', 'version 1.'])} THEN -15 ELSE 0 END"""
 _RANKED = f"""{_USABLE}, firsts AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic, url ORDER BY position) AS n FROM usable WHERE NOT {_IS_BLOCKED}) WHERE n = 1),
 scored AS (SELECT *, {_SCORE} AS score FROM firsts),
@@ -139,7 +143,9 @@ def sanitize_ascii(spark, d):
     return T(spark, d, "documents").select("doc_id", S.sanitize_ascii(F.col("text")).alias("ascii"))
 
 
-@query(None)
+# the longest prefix of whole characters that fits; what is left of a split character is one U+FFFD
+@query(f"""WITH t AS (SELECT doc_id, {_STRIP('text')} AS t FROM documents), k AS (SELECT doc_id, t, list_max(list_filter(range(0, 701), lambda n: strlen(left(t, n)) <= 700)) AS k FROM t),
+c AS (SELECT doc_id, left(t, k) || CASE WHEN length(t) > k AND strlen(left(t, k)) < 700 THEN chr(65533) ELSE '' END AS cut FROM k) SELECT doc_id, {_STRIP('cut')} AS cut FROM c""")
 def truncate_bytes(spark, d):
     return T(spark, d, "documents").select("doc_id", S.truncate_bytes(F.col("text"), 700).alias("cut"))
 
@@ -536,3 +542,133 @@ def strict_epoch_day(spark, d):
 @query(f"WITH {_TOPICS} SELECT coalesce(to_json(list({{'slug': slug, 'name': name}} ORDER BY slug, name)), '[]')::VARCHAR AS body FROM topics WHERE status = 'active' AND slug LIKE '%77%'")
 def topics_as_json(spark, d):
     return views.as_json(views.search_topics(topics(spark, d), "77", None))
+
+
+_FULL_RUNS = """fr AS (SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'running' WHEN 'click' THEN 'completed' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'rate_limited' END AS status,
+  CASE WHEN event_id % 3 = 0 THEN 'reviewing' ELSE '' END AS stage FROM events)"""
+
+
+def full_runs(spark, d):
+    r = runs(spark, d)
+    none = {"provider": "", "query": "", "reviewer_model": ""} | dict.fromkeys(["result_count", "stored_count", "reviewer_input_tokens", "reviewer_output_tokens", "reviewer_total_tokens"], 0)
+    for name, value in none.items():
+        r = r.withColumn(name, F.lit(value))
+    return r.select(*spark.createDataFrame([], RUNS).columns)
+
+
+@query(f"""WITH {_FULL_RUNS}, top AS (SELECT max(id) AS top FROM fr)
+SELECT id, status, stage, 0 AS result_count, 0 AS stored_count, '' AS reviewer_model, 0 AS reviewer_total_tokens, '' AS error FROM fr
+UNION ALL SELECT top + 1, 'completed', '', 9, 4, 'm', 30, '' FROM top UNION ALL SELECT top + 2, 'failed', '', 0, 0, '', 0, 'no answer' FROM top
+UNION ALL SELECT top + 3, 'running', 'storing', 0, 0, '', 0, '' FROM top UNION ALL SELECT top + 4, 'rate_limited', '', 0, 0, '', 0, '' FROM top""")
+def run_lifecycle(spark, d):
+    """Four runs after those of the ledger: one completes, one fails, one comes to storing, one is refused."""
+    r = full_runs(spark, d)
+    top = r.agg(F.max("id")).first()[0]
+    for i, status in enumerate(["running", "running", "running", "rate_limited"]):
+        r = ledger.insert_run(r, top + 1 + i, 1, "search", "q", status, NOW, "searching" if status == "running" else "")
+    r = ledger.set_stage(ledger.fail_run(ledger.complete_run(r, top + 1, 9, 4, NOW, "m", (10, 20, 30)), top + 2, "no answer", NOW), top + 3, "storing")
+    return r.select("id", "status", "stage", "result_count", "stored_count", "reviewer_model", "reviewer_total_tokens", "error")
+
+
+@query(f"""WITH {_RUNS}, {_LATEST}, {_TOPICS} SELECT slug, name, status, CASE WHEN status = 'searching' AND run_status = 'running' AND run_stage <> '' THEN run_stage ELSE status END AS label, status IN ('queued', 'failed') AS can_process
+FROM topics LEFT JOIN latest ON latest.topic_id = id WHERE status <> 'disabled'""")
+def topic_status(spark, d):
+    return views.topic_status(topics(spark, d), runs(spark, d))
+
+
+@query(f"WITH {_TOPICS} SELECT id AS topic_id, name, updated_at, CAST(row_number() OVER (ORDER BY updated_at DESC, name, slug) AS INTEGER) AS place FROM (SELECT *, created_at AS updated_at FROM topics) WHERE status <> 'disabled'")
+def topic_index_order(spark, d):
+    rows = views.topic_index(topics(spark, d), results(spark, d), runs(spark, d))
+    placed = number_rows(rows, [-F.unix_micros(F.col("updated_at").cast("timestamp")), "name", "slug"], "place")
+    return placed.select("topic_id", "name", "updated_at", F.col("place").cast("int"))
+
+
+@query(f"""WITH {_RUNS}, {_LATEST}, {_TOPICS}, own AS (SELECT * FROM topics WHERE slug = (SELECT min(slug) FROM topics WHERE status = 'searching'))
+SELECT slug, name, status, CASE WHEN run_status = 'running' AND run_stage <> '' THEN run_stage ELSE status END AS label, (SELECT count(*) FROM events WHERE user_id = own.id AND event_type <> 'signup') AS n_evaluated,
+  (SELECT count(*) FROM events WHERE user_id = own.id AND event_type = 'purchase') AS n_accepted FROM own LEFT JOIN latest ON latest.topic_id = own.id""")
+def evaluations_header(spark, d):
+    """Of the first topic that is searched."""
+    t = topics(spark, d)
+    e = T(spark, d, "events").filter("event_type <> 'signup'").select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("topic_id"), F.lit(1).cast("long").alias("search_run_id"), F.lit("t").alias("title"), F.lit("u").alias("url"), F.lit("s").alias("source"),
+        F.lit(1).alias("rank"), F.lit(50).alias("reviewer_score"), F.lit("").alias("page_type"), F.lit("").alias("reviewer_reason"), (F.col("event_type") == "purchase").alias("accepted"),
+    )
+    return views.evaluations_of(t, e, runs(spark, d), t.filter("status = 'searching'").agg(F.min("slug")).first()[0] or "")[0]
+
+
+@query(f"WITH {_VERDICTS}, c AS (SELECT *, accepted AND sum(accepted::INT) OVER (PARTITION BY topic ORDER BY review_order) <= 5 AS kept FROM o) SELECT doc_id, topic, kept AS accepted, CAST(row_number() OVER (PARTITION BY topic ORDER BY review_order) AS INTEGER) AS rank FROM c")
+def final_ranks(spark, d):
+    return review.final_ranks(review.capped(verdicts(spark, d), 5)).select("doc_id", "topic", "accepted", "rank")
+
+
+@query(f"WITH {_VERDICTS} SELECT doc_id, topic, accepted FROM o")
+def cap_below_one(spark, d):
+    """A cap below one caps nothing."""
+    return review.capped(verdicts(spark, d), 0).select("doc_id", "topic", "accepted")
+
+
+@query(f"WITH {_RANKED} SELECT topic, candidate_index AS index, title, url, host AS source, rank, least(strlen(snippet), 700) - strlen(snippet) <= 0 AS fits FROM ranked")
+def review_requests(spark, d):
+    rows = candidates.normalize_results(page_results(spark, d), BLOCKED).withColumn("source", F.col("host"))
+    return review.requests(rows).select("topic", "index", "title", "url", "source", "rank", (F.octet_length("snippet") <= 702).alias("fits"))
+
+
+@query(f"WITH {_TOPICS} SELECT slug, name FROM topics WHERE status = 'active' AND (slug LIKE '%1%' OR lower(name) LIKE '%1%') ORDER BY name, slug LIMIT 10")
+def topic_search_first(spark, d):
+    return views.search_topics(topics(spark, d), "1")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN p_name END AS shown FROM part")
+def blank_as_null(spark, d):
+    p = T(spark, d, "part")
+    return p.select("p_partkey", S.null_if_blank(F.when(F.col("p_partkey") % 3 == 0, " \u00a0\n").otherwise(F.concat(F.lit(" "), "p_name"))).alias("shown"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate + to_seconds(o_orderkey % 86400), '%Y-%m-%d %H:%M:%S') AS shown, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate + to_seconds(o_orderkey % 86400) END AS back, CAST(CAST(o_orderdate + to_seconds(o_orderkey % 86400) AS DATE) AS TIMESTAMP) AS day FROM orders")
+def time_format(spark, d):
+    t = F.col("o_orderdate") + F.make_dt_interval(secs=(F.col("o_orderkey") % 86400).cast("decimal(18,6)"))
+    shown = S.format_time(t)
+    return T(spark, d, "orders").select("o_orderkey", shown.alias("shown"), S.parse_time(F.when(F.col("o_orderkey") % 2 == 0, shown).otherwise(F.concat(shown, F.lit("Z")))).alias("back"), S.day_start(t).alias("day"))
+
+
+@query(f"WITH {_TOPICS} SELECT id, CASE WHEN id % 3 > 0 THEN slug END AS found FROM topics")
+def view_paths(spark, d):
+    t = topics(spark, d)
+    path = F.concat(F.lit("/topics/"), "slug", F.when(F.col("id") % 3 == 0, "/other").when(F.col("id") % 3 == 1, "/status").otherwise("/status/"))
+    return t.select("id", S.topic_path(path, "status").alias("found"))
+
+
+@query(f"""WITH {_TOPICS}, gone AS (SELECT id FROM topics WHERE status = 'disabled'), {_STORED}
+SELECT 'topics' AS name, count(*) AS n FROM topics WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'pages', count(*) FROM st WHERE topic_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'topic_search_runs', count(*) FROM events WHERE user_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'daily_readings', count(*) FROM orders WHERE o_custkey NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'topic_search_results', count(*) FROM st WHERE topic_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'stored', count(*) FROM st WHERE active AND topic_id NOT IN (SELECT id FROM gone)""")
+def cascade_delete(spark, d):
+    t = topics(spark, d)
+    tables = {"topics": t, "pages": stored_pages(spark, d), "topic_search_runs": full_runs(spark, d), "daily_readings": assignments(spark, d), "topic_search_results": stored_results(spark, d)}
+    after = catalog.delete_topics(tables, t.filter("status = 'disabled'"))
+    counts = [df.agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n, df in after.items()]
+    counts.append(after["topic_search_results"].agg(F.lit("stored").alias("name"), F.count("stored_as_page_id").alias("n")))
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query("""WITH p AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)
+SELECT page_id, 0 AS position, title, url, 'snip' AS snippet, (page_id % 100) / 100.0::DOUBLE AS provider_score FROM p UNION ALL SELECT page_id, 1, title || '2', url || '/2', '', 0.5 FROM p""")
+def decode_search_json(spark, d):
+    from ..sources.edges import decode_results
+
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    row = lambda t, u, c, s: F.struct(t.alias("title"), u.alias("url"), F.lit(c).alias("content"), s.alias("score"))
+    both = F.array(row(title, F.col("url"), "snip", F.pmod("page_id", F.lit(100)) / 100.0), row(F.concat(title, F.lit("2")), F.concat("url", F.lit("/2")), "", F.lit(0.5).cast("double")))
+    return decode_results(T(spark, d, "pages").select("page_id", F.to_json(F.struct(both.alias("results"))).alias("body")))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN trim(text, e' ') ELSE trim('(' || text || ')', ' ') END AS text FROM conversations")
+def review_answer_text(spark, d):
+    """An answer's text stands in output_text, or else in parts."""
+    from ..sources.edges import answer_text
+
+    c = T(spark, d, "conversations")
+    part = lambda x: F.struct(F.array(F.struct(x.alias("text"))).alias("content"))
+    nested = F.array(part(F.lit("(")), part(F.col("text")), part(F.lit(")")))
+    body = F.to_json(F.struct(F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(" ").alias("output_text"), nested.alias("output")))
+    return answer_text(c.select("conv_id", "turn", body.alias("body"))).select("conv_id", "turn", "text")

@@ -7,6 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from ..schemas import SEED
 
 
+def read_seed_file(spark: SparkSession, path: str) -> DataFrame:
+    """The seed document in a file of any storage that Spark reads."""
+    return read_seed(spark, spark.read.text(path, wholetext=True).first()["value"])
+
+
 def read_seed(spark: SparkSession, text: str) -> DataFrame:
     """One row: topic, name, description, pages."""
     try:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import at
-from ..schemas import TABLES
+from ..schemas import TABLES, CatalogError
 
 # The versions of the schema, in order.
 MIGRATIONS = [(1, "initial"), (2, "add_topic_search_review"), (3, "add_topic_search_result_acceptance"), (4, "add_topic_search_run_stage")]
@@ -30,13 +31,70 @@ def migrate(applied: DataFrame, now: datetime) -> DataFrame:
 
 
 def save(tables: dict[str, DataFrame], path: str, version: int) -> str:
-    """Write a whole new snapshot; readers switch to it by its name."""
-    root = f"{path.rstrip('/')}/v{version:08d}"
+    """Write a whole new snapshot with a manifest of its tables' rows and digests. Readers don't see it
+    until `publish` points to it, so all tables of a change appear at once or not at all."""
+    root, sums = f"{path.rstrip('/')}/v{version:08d}", []
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{root}/{name}.parquet")
+        sums.append((name, *map(str, checksum(df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}.parquet")))))
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame(sums, "name string, n string, digest string").coalesce(1).write.mode("errorifexists").parquet(f"{root}/manifest.parquet")
     return root
 
 
+def verify(spark: SparkSession, root: str) -> list[str]:
+    """The tables of a snapshot that aren't as its manifest says; empty if it is sound."""
+    try:
+        told = spark.read.parquet(f"{root}/manifest.parquet").collect()  # a row a table
+    except AnalysisException:
+        return ["manifest"]
+    wrong = []
+    for row in told:
+        try:
+            sound = tuple(map(str, checksum(spark.read.parquet(f"{root}/{row['name']}.parquet")))) == (row["n"], row["digest"])
+        except AnalysisException:
+            sound = False
+        if not sound:
+            wrong.append(row["name"])
+    return wrong
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def publish(spark: SparkSession, path: str, root: str) -> None:
+    """Make root the current snapshot: pointers are numbered, and the greatest that exists counts, so a
+    reader sees the old one or the new one."""
+    files, at = _files(spark, f"{path.rstrip('/')}/current")
+    files.mkdirs(at)
+    last = max((int(s.getPath().getName().split("-")[0]) for s in files.listStatus(at)), default=0)
+    _, name = _files(spark, f"{path.rstrip('/')}/current/{last + 1:08d}-{root.rstrip('/').rsplit('/', 1)[1]}")
+    if not files.createNewFile(name):
+        raise RuntimeError("another writer published at the same time")
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The current snapshot, or None if none was published."""
+    files, at = _files(spark, f"{path.rstrip('/')}/current")
+    names = sorted(s.getPath().getName() for s in files.listStatus(at)) if files.exists(at) else []
+    return f"{path.rstrip('/')}/{names[-1].split('-', 1)[1]}" if names else None
+
+
+def restore(spark: SparkSession, backup: str, path: str, version: int) -> tuple[str, str | None]:
+    """Make a copy of a sound backup the current snapshot below path; the one before stays where it is.
+    Returns both."""
+    if wrong := verify(spark, backup):
+        raise CatalogError(f"the backup is damaged: {', '.join(wrong)}")
+    before = current(spark, path)
+    root = save(load(spark, backup), path, version)
+    if wrong := verify(spark, root):
+        raise CatalogError(f"the copy is damaged: {', '.join(wrong)}")
+    publish(spark, path, root)
+    return root, before
+
+
 def load(spark: SparkSession, root: str, register: bool = False) -> dict[str, DataFrame]:
     """Tables of a snapshot; columns that an older one lacks are null."""
     out = {}
