@@ -130,3 +130,152 @@ def test_candidates_score_the_whole_page(spark, tmp_path):
     assert score[2] == score[1] + 12 and score[3] == score[1] - 15
     order = {r["url"].rsplit("/", 1)[1]: r["candidate_index"] for r in bindings.QUERIES["candidate_pipeline"](spark, str(tmp_path)).filter("topic = 'x'").collect()}
     assert order == {"two": 1, "one": 2, "three": 3}
+
+
+@pytest.fixture(scope="module")
+def server():
+    """A local service: /ok, /moved (to /ok), /nohead (GET only), /gone, and POST /search, /review, /broken, /refused."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        asked: list[tuple[str, str, dict]] = []
+
+        def answer(self, status, body="", **headers):
+            data = body.encode()
+            self.send_response(status)
+            for k, v in (headers | {"Content-Length": str(len(data))}).items():
+                self.send_header(k, v)
+            self.end_headers()
+            if self.command != "HEAD":
+                self.wfile.write(data)
+
+        def do_HEAD(self):
+            if self.path == "/moved":
+                return self.answer(301, Location="/ok")
+            self.answer({"/ok": 204, "/nohead": 405, "/gone": 404}.get(self.path, 500))
+
+        def do_GET(self):
+            self.answer(200 if self.path in ("/ok", "/nohead") else 404)
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            Handler.asked.append((self.path, self.headers["Authorization"], body))
+            found = {"results": [{"title": "Guide", "url": "https://docs.example.org/a/b/c", "content": "learn", "score": 0.5}]}
+            review = {"results": [{"index": 1, "score": 88, "page_type": " guide ", "should_store": True, "reason": "ok"}]}
+            usage = {"input_tokens": 7, "output_tokens": 3, "total_tokens": 10}
+            if self.path == "/search":
+                self.answer(200, json.dumps(found))
+            elif self.path == "/review":
+                self.answer(200, json.dumps({"model": "m-1", "usage": usage, "output_text": " ", "output": [{"content": [{"text": json.dumps(review)}]}]}))
+            elif self.path == "/refused":
+                self.answer(429, json.dumps({"error": {"message": "too many"}}))
+            else:
+                self.answer(200, "no json")
+
+        def log_message(self, *_):
+            pass
+
+    http = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{http.server_port}", Handler.asked
+    http.shutdown()
+
+
+def test_link_validation_end_to_end(spark, server):
+    at, _ = server
+    pages = store.empty_tables(spark)["pages"]
+    base = {f.name: None for f in pages.schema} | {"topic_id": 1, "last_error": "e"}
+    rows = [("/ok", True, 2), ("/moved", True, 0), ("/nohead", True, 1), ("/gone", True, 2), ("/gone2", True, 0), ("/ok?x", False, 2)]
+    pages = spark.createDataFrame([base | {"id": i, "url": at + u, "active": a, "verification_failures": n} for i, (u, a, n) in enumerate(rows)], pages.schema)
+    after, summary = links.validate(pages, NOW)
+    got = {r["id"]: (r["url"], r["active"], r["verification_failures"], r["last_error"], r["outcome"]) for r in after.collect()}
+    assert got == {
+        0: (at + "/ok", True, 0, "", "healthy"),
+        1: (at + "/moved", True, 0, "", "conflict"),  # its final URL is another page's
+        2: (at + "/nohead", True, 0, "", "healthy"),
+        3: (at + "/gone", False, 3, "unexpected status 404", "disabled"),
+        4: (at + "/gone2", True, 1, "unexpected status 500", "failed"),
+        5: (at + "/ok?x", False, 2, "e", None),
+    }
+    assert tuple(summary.first()) == (5, 3, 2, 1)
+
+
+def test_services(spark, server):
+    from shelfmark.plans.search import State, search_topic
+    from shelfmark.sources.services import ReviewService, SearchService, ServiceError
+
+    at, asked = server
+    search, judge = SearchService(spark, at + "/search", " k "), ReviewService(spark, at + "/review", "k2", "m")
+    tables, stages = store.empty_tables(spark), []
+    state = State(tables["topics"], tables["pages"], tables["topic_search_runs"], tables["topic_search_results"])
+    after, error = search_topic(state, "rust", "Rust", search, judge, NOW, on_stage=lambda runs: stages.append(runs.first()["stage"]))
+    assert error is None and stages == ["searching", "reviewing", "storing"]
+    run = after.runs.first()
+    assert (run["status"], run["reviewer_model"], run["reviewer_input_tokens"], run["reviewer_output_tokens"], run["reviewer_total_tokens"]) == ("completed", "m-1", 7, 3, 10)
+    result = after.results.first()
+    assert (result["page_type"], result["reviewer_score"], result["accepted"]) == ("guide", 88, True)
+    path, key, body = asked[0]
+    assert (path, key, body["max_results"], body["query"]) == ("/search", "Bearer k", 20, "Rust specific concept tutorial guide deep dive documentation")
+    path, key, body = asked[1]
+    schema = body["text"]["format"]["schema"]["properties"]["results"]["items"]
+    assert (path, key, body["model"], body["store"]) == ("/review", "Bearer k2", "m", False) and set(schema["required"]) == {"index", "score", "page_type", "should_store", "reason"}
+    for path, told in {"/refused": "status 429, too many", "/broken": "can't be read"}.items():
+        with pytest.raises(ServiceError, match=told):
+            SearchService(spark, at + path, "k").search("q")
+    with pytest.raises(ServiceError, match="needs a key"):
+        SearchService(spark, at, " ").search("q")
+    # a service's failure is the run's
+    after, error = search_topic(state, "rust", "Rust", SearchService(spark, at + "/refused", "k"), None, NOW)
+    assert isinstance(error, ServiceError) and after.runs.first()["status"] == "failed" and after.topics.first()["status"] == "failed"
+
+
+def test_caps_and_user_parts(spark):
+    rows = spark.createDataFrame([("t", i, True) for i in range(4)], "topic string, review_order int, accepted boolean")
+    assert review.capped(rows, 0).filter("accepted").count() == 4
+    kept = candidates.normalize_results(results(spark, [("A", "https://me@github.com/a", " s ", 0.1), ("B", "https://Me@Docs.example.org/b/", " s ", 0.1)])).collect()
+    assert [(r["url"], r["host"], r["snippet"]) for r in kept] == [("https://Me@docs.example.org/b", "docs.example.org", "s")]
+
+
+def test_failed_import_and_ids(spark):
+    tables = store.empty_tables(spark)
+    good = seed.read_seed(spark, "topic: go\nname: Go\npages:\n  - {title: A, url: 'https://a.example.org'}\n")
+    bad = seed.read_seed(spark, "topic: go\nname: Go\npages: []\n")
+    topics, pages, imports, error = catalog.try_import(tables["topics"], tables["pages"], tables["imports"], bad, NOW)
+    assert isinstance(error, schemas.InvalidSeed) and topics.count() == pages.count() == 0
+    topics, pages, imports, error = catalog.try_import(topics, pages, imports, good, NOW)
+    assert error is None and [(r["id"], r["status"], r["pages_imported"]) for r in imports.orderBy("id").collect()] == [(1, "failed", 0), (2, "completed", 1)]
+    two = catalog.log_import(imports, good.unionByName(bad.withColumn("topic", F.lit("zig"))), "completed", "", NOW)
+    assert sorted(r["id"] for r in two.collect()) == [1, 2, 3, 4]
+    twice = spark.createDataFrame([("a", "A"), ("a", "B")], "slug string, name string")
+    with pytest.raises(Exception, match="key occurs twice"):
+        catalog.ensure_topics(topics, twice, NOW).collect()
+
+
+def test_publish_and_restore(spark, tmp_path):
+    base = f"file://{tmp_path}/db"
+    tables = store.empty_tables(spark)
+    assert store.current(spark, base) is None
+    first = store.save(tables, base, 1)
+    store.publish(spark, base, first)
+    tables["topics"] = catalog.ensure_topics(tables["topics"], spark.createDataFrame([("go", "Go")], "slug string, name string"), NOW)
+    second = store.save(tables, base, 2)
+    assert store.current(spark, base) == first  # not seen before it is published
+    store.publish(spark, base, second)
+    assert store.current(spark, base) == second and store.verify(spark, second) == []
+    root, before = store.restore(spark, first, base, 3)
+    assert before == second and store.current(spark, base) == root and store.load(spark, root)["topics"].count() == 0
+    tables["topics"].limit(0).write.mode("overwrite").parquet(f"{second}/topics.parquet")
+    assert store.verify(spark, second) == ["topics"]
+    with pytest.raises(schemas.CatalogError, match="damaged: topics"):
+        store.restore(spark, second, base, 4)
+    assert store.verify(spark, f"{base}/none") == ["manifest"]
+
+
+def test_numbers_of_many_partitions(spark):
+    from shelfmark.numbering import number_rows
+
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit("x").alias("v")).repartition(7)
+    assert [(r["k"], r["n"]) for r in number_rows(rows, ["k"], "n", F.lit(5)).collect() if r["n"] != r["k"] + 5] == []
+    assert number_rows(rows.limit(0), ["k"], "n").count() == 0

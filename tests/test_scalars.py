@@ -48,5 +48,14 @@ def test_score(spark):
         df = spark.createDataFrame([(title, url, snippet, provider)], "t string, u string, s string, p double")
         return df.select(interest(F.col("t"), F.col("u"), F.col("s"), S.url_host(F.col("u")), F.col("p")).alias("x")).first()["x"]
 
-    assert score("Rust Book", "https://doc.rust-lang.org/book", "Learn Rust.", 0.0) == 66
-    assert score("Rust Programming Language", "https://www.rust-lang.org/", "Why Rust? Rust is fast and reliable.", 0.95) == -21
+    # own cases: title, path and snippet words; a documentation host; a bad title on a front page; stale text
+    assert score("A guide to locks", "https://docs.example.com/guide/locks/one", "explains locks", 0.0) == 24 + 20 + 12 + 24
+    assert score("Locks", "https://www.example.org/a/b", "plain", 0.31) == 10 + 3
+    assert score("Best locks", "https://example.com/", "a mirror of version 1.2", 1.0) == -30 - 10 - 15 + 10
+    assert score("Locks", "https://example.com/blog/a/b", "plain", 0.0) == -30
+
+
+def test_times(spark):
+    assert str(one(spark, S.parse_time(F.col("a")), a="2024-02-29 23:59:59")) == "2024-02-29 23:59:59"
+    assert one(spark, S.parse_time(F.col("a")), a="2024-2-29 23:59:59") is one(spark, S.parse_time(F.col("a")), a="2023-02-29 00:00:00") is None
+    assert one(spark, S.format_time(S.parse_time(F.col("a"))), a="2024-02-29 01:02:03") == "2024-02-29 01:02:03"
