@@ -1,4 +1,11 @@
-"""The corpus pipeline: each stage works on all that the one before it kept."""
+"""The corpus pipeline: each stage works on all that the one before it kept.
+
+Edge cases, for every stage: an empty table gives an empty result; rows with nulls in any column are
+worked on (a null text counts as empty: the quality rules reject it, and the stages after them would
+keep it); repeated rows and rows that share a doc_id are judged each, but for near duplicates, where
+they go or stay together; columns beyond those of documents are returned as they are, whatever their
+names, but by packing; texts of any length are taken whole.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm.common import scratch, table
+from shelfmark.llm.common import clear, scratch, table
 from shelfmark.llm.decontaminate import decontaminated
 from shelfmark.llm.neardup import near_dedup
 from shelfmark.llm.packing import pack_documents
@@ -54,10 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another, each result written and read again."""
+    """The stages one after another, each result written and read again; what a stage staged for itself is
+    deleted when its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = scratch(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        clear(spark, path)
     return STAGES[-1][1](spark, docs, sf_dir)
