@@ -40,7 +40,9 @@ def _cuts_at_blanks(spec: dict) -> bool:
             return True
         return not step.get("add_prefix_space", False) and all(map(plain, step.get("pretokenizers") or []))
 
-    inside = re.compile("[^\u0120\u010a][\u0120\u010a]")  # a blank, as bytes are written in such a vocabulary
+    # a blank, as bytes are written in such a vocabulary, after something else; blanks alone, the no-break
+    # space too, are joined only in texts that go whole
+    inside = re.compile("(?!^(?:\u0120|\u010a|\u00c2\u0142)+$)^.*[^\u0120\u010a][\u0120\u010a]")
     return (
         spec["model"].get("type") == "BPE"
         and kinds(spec.get("pre_tokenizer")) <= {"ByteLevel", "Split"}
