@@ -176,43 +176,49 @@ def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
     return out
 
 
+#: How votes of -1, 0 and 1 are spread over false and over true spans before any is seen.
+_START = np.array([[0.6, 0.3, 0.1], [0.1, 0.3, 0.6]])
+
+
 def expectation_maximisation(votes: np.ndarray, count: np.ndarray, rounds: int = 60, start: np.ndarray | None = None, trust: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
     """votes: (patterns, labelers) of -1, 0, 1; count: how often each occurs. Returns each pattern's
-    likelihood of being true, and the labelers' reliabilities (the share of its votes that agree).
-    start: reliabilities that weigh as much as `trust` of all votes."""
+    likelihood of being true, and the spread of each labeler's votes over false and true spans, (2,
+    labelers, 3): one that says the same of both tells nothing, however often it is right. start: spreads
+    that weigh as much as `trust` of all votes."""
     w = count / count.sum()
+    hot = (votes[:, :, None] == np.array([-1, 0, 1])).astype(float)  # patterns, labelers, votes
+    first = np.repeat(_START[:, None, :], votes.shape[1], axis=1) if start is None else start
     p = 1 / (1 + np.exp(-votes.sum(axis=1)))
-    first = np.full(votes.shape[1], 0.7) if start is None else start
-    accuracy = first.copy()
+    spread = first
     for _ in range(rounds):
         prior = float(np.clip((w * p).sum(), 0.02, 0.98))
-        for j in range(votes.shape[1]):
-            says = votes[:, j] != 0
-            agree = np.where(votes[:, j] > 0, p, 1 - p)
-            accuracy[j] = np.clip(((w * agree)[says].sum() + trust * first[j]) / (w[says].sum() + trust), 0.5, 0.98)
-        score = math.log(prior / (1 - prior)) + votes @ np.log(accuracy / (1 - accuracy))
-        p = 1 / (1 + np.exp(-score))
-    return p, accuracy
+        share = np.stack([w * (1 - p), w * p])
+        spread = (np.einsum("cp,pjv->cjv", share, hot) + trust * first) / (share.sum(axis=1) + trust)[:, None, None]
+        score = math.log(prior / (1 - prior)) + np.einsum("pjv,jv->p", hot, np.log(spread[1] / spread[0]))
+        p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+    return p, spread
+
+
+def reliability(spread: np.ndarray) -> np.ndarray:
+    """How often a labeler says yes of true and no of false spans, on average."""
+    return (spread[1, :, 2] + spread[0, :, 0]) / 2
 
 
 def likelihoods(code: np.ndarray, count: np.ndarray) -> tuple[dict[int, float], dict[str, np.ndarray]]:
-    """Of each pattern that it is a true span, and each kind's reliabilities. Kinds start from the
-    reliabilities over all of them, so a rare kind keeps close to these."""
+    """Of each pattern that it is a true span, and each kind's reliabilities. Kinds start from the spreads
+    over all of them, so a rare kind keeps close to these."""
     votes = np.stack([code // 3 ** (LABELERS - 1 - j) % 3 - 1 for j in range(LABELERS)], axis=1).astype(float)
     kind = code // 3**LABELERS
     _, pooled = expectation_maximisation(votes, count)
     out, reliable = {}, {}
     for k in np.unique(kind):
         rows = kind == k
-        p, accuracy = expectation_maximisation(votes[rows], count[rows], start=pooled, trust=min(1.0, 50 / count[rows].sum()) + 0.02)
+        p, spread = expectation_maximisation(votes[rows], count[rows], start=pooled, trust=min(1.0, 50 / count[rows].sum()) + 0.02)
         out |= dict(zip(code[rows].tolist(), p.tolist(), strict=True))
-        reliable[KINDS[int(k)]] = accuracy
+        reliable[KINDS[int(k)]] = reliability(spread)
     return out, reliable
 
 
-WIDTH = 1 + len(KINDS) + LABELERS + len(MEASURES)
-
-
 def _features(code: int, around: list[float]) -> list[float]:
     hot, votes = [0.0] * len(KINDS), []
     for _ in range(LABELERS):
