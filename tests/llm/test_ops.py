@@ -43,7 +43,7 @@ def test_shards(spark, docs, rows):
     for r in got:
         by.setdefault(r["shard"], []).append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
-    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1 if len(by) == 16 else True
+    assert len(by) == 16 and max(map(len, by.values())) - min(map(len, by.values())) <= 1
     again = sharding.shard_rows(docs.repartition(2)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     sizes = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got}
@@ -311,24 +311,62 @@ def test_pfor_round_trip():
         assert (a, b) == (4, 9) and (np.concatenate([x, y]) == ids).all()
 
 
-def test_tokens_and_packing(spark, docs, rows):
+MARKS = ["<|endoftext|>", "a <|endoftext|> b", "x<|startoftext|>y\n<|ENDOFTEXT|>", "<|endoftext|"]
+
+
+def plain_ids(name, texts):
     from tokenizers import Tokenizer
 
-    from shelfmark.llm.tokens import UnitTokenizer, vocabulary
+    from shelfmark.llm.tokens import vocabulary
+
+    tok = Tokenizer.from_file(vocabulary(name))
+    return [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
 
-    odd = ["a  b", " a\n\nb ", "a\t b c", "x\r\ny", "don't 12 3.4", "\n", "ÀÉ  ", "a \n b", None, ""]
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_tokens_against_the_library(rows):
+    from shelfmark.llm.tokens import UnitTokenizer, _cuts_at_blanks, vocabulary
+
+    odd = ["a  b", " a\n\nb ", "a\t b c", "x\r\ny", "don't 12 3.4", "\n", "ÀÉ  ", "a \n b", None, "", *MARKS]
+    texts = odd + [t for _, t, *_ in rows]
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
-        tok, own = Tokenizer.from_file(vocabulary(name)), UnitTokenizer(vocabulary(name), most=50)
-        texts = odd + [t for _, t, *_ in rows]
-        for t, ids in zip(texts, own.ids(texts)):
-            assert np.frombuffer(ids, np.uint32).tolist() == tok.encode(t or "", add_special_tokens=False).ids
-    got = pfor.binary_output(docs).collect()
-    assert len(got) == len(rows)
-    order = sorted(got, key=lambda r: r["start"])
-    assert [r["start"] for r in order] == np.cumsum([0] + [r["n_tokens"] for r in order])[:-1].tolist()
-    ids = [r["doc_id"] for r in order if r["doc_id"] is not None]
-    assert ids == sorted(ids)
+        own = UnitTokenizer(vocabulary(name), most=50)
+        assert not own.whole
+        assert [np.frombuffer(x, np.uint32).tolist() for x in own.ids(texts)] == plain_ids(name, texts)
+        own.whole = True  # as for a vocabulary of another kind
+        assert [np.frombuffer(x, np.uint32).tolist() for x in own.ids(texts)] == plain_ids(name, texts)
+    assert not _cuts_at_blanks({"model": {"type": "Unigram", "vocab": []}, "pre_tokenizer": {"type": "Metaspace"}})
+    assert not _cuts_at_blanks({"model": {"type": "BPE", "vocab": {"a\u0120b": 1}}, "pre_tokenizer": {"type": "ByteLevel"}})
+
+
+@pytest.fixture(scope="module")
+def token_rows(rows):
+    """With added tokens in texts, and one doc_id on several texts and repeated."""
+    return [(i, t) for i, t, *_ in rows] + list(enumerate(MARKS, 500)) + [(500, "other"), (500, "other"), (None, None), (4, rows[-2][1])]
+
+
+def test_binary_output_against_the_library(spark, token_rows):
+    docs = spark.createDataFrame(token_rows, "doc_id long, text string").repartition(3)
+    got = sorted(pfor.binary_output(docs).collect(), key=lambda r: r["start"])
+    want = sorted((i is not None, i or 0, [*ids, 2]) for (i, _), ids in zip(token_rows, plain_ids("word_bpe_49k.json", [t for _, t in token_rows]), strict=True))
+    assert [r["doc_id"] if r["doc_id"] is not None else 0 for r in got] == [w[1] for w in want]
+    assert [r["start"] for r in got] == np.cumsum([0] + [r["n_tokens"] for r in got])[:-1].tolist()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((w[1], len(w[2]), crc(w[2])) for w in want)
+    assert [tuple(r) for r in sorted(pfor.binary_output(docs.repartition(5)).collect(), key=lambda r: r["start"])] == [tuple(r) for r in got]
+    assert pfor.binary_output(docs.limit(0)).count() == 0
+
+
+def test_packing_against_the_library(spark, token_rows):
+    docs = spark.createDataFrame(token_rows, "doc_id long, text string").repartition(3)
     packed = packing.pack_documents(docs).collect()
+    want = []
+    for (i, _), ids in zip(token_rows, plain_ids("byte_bpe_50k.json", [t for _, t in token_rows]), strict=True):
+        ids = [*ids, 1]
+        want += [(i, a, len(ids[a : a + 2048]), crc(ids[a : a + 2048]), len(ids)) for a in range(0, len(ids), 2048)]
+    assert sorted((r[:5] for r in map(tuple, packed)), key=str) == sorted(want, key=str)
     seqs = {}
     for r in packed:
         seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -338,7 +376,9 @@ def test_tokens_and_packing(spark, docs, rows):
             assert o == at
             at += n
         assert at <= 2048
-    assert packing.pack_documents(docs.limit(0)).count() == 0 and pfor.binary_output(docs.limit(0)).count() == 0
+    used = sum(w[2] for w in want)
+    assert sorted(seqs) == list(range(len(seqs))) and len(seqs) <= -(-used // 2048) + 1
+    assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
 def test_histogram_packs_every_piece():
@@ -354,6 +394,35 @@ def test_histogram_packs_every_piece():
     assert sum(p for p, _ in packing.pack_histogram({100: 1000}, 2048)) == 50
 
 
+def test_html_without_names():
+    """Neither tags nor classes tell the article: ratios do."""
+    long = "Words of a real paragraph that goes on for quite a while, and then some. " * 4
+    menu = "".join(f"<span><a href=/{i}>Link {i}</a></span> " for i in range(8))
+    lists = "".join(f"<div><a href=/{i}>Other {i}</a></div>" for i in range(6))
+    page = f"<html><body><div class=x1><div class=a1>{menu}</div><div class=b2><div class=c><h1>A headline</h1></div><div class=q>" + f"<p>{long}</p>" * 4 + f"<p>Short one.</p><p>{long}</p></div>{lists}</div><div class=z9><div>All rights kept</div><div><a href=t>Terms</a></div></div></div></body></html>"
+    assert html.main_text(page) == "\n\n".join(["A headline", *[long.strip()] * 4, "Short one.", long.strip()])
+
+
+def test_html_links_in_an_article():
+    long = "Words of a real paragraph that goes on for quite a while, and then some. " * 4
+    lists = "".join(f"<div><a href=/{i}>Other {i}</a></div>" for i in range(9))
+    assert html.main_text(f"<article><h2>T</h2><p>{long}</p><p>{long}</p><p>Sh is.</p>{lists}</article>") == "\n\n".join(["T", long.strip(), long.strip(), "Sh is."])
+
+
+def test_html_is_linear_in_tags():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html.main_text("<div>x" * n + "</section>" * n + "<b>" * n + "<p>y")
+        return time.process_time() - began
+
+    took(500)
+    assert took(40_000) < 40 * took(4_000) + 1
+    pages = [None, "", "<", "<!", "<p", "</", "<!-- x", "<article><p>a<article>b</p></p></article>", "<div" * 50, "&#0;&bad;&amp"]
+    assert [html.main_text(p) for p in pages[:3]][:2] == ["", ""] and all(isinstance(html.main_text(p), str) for p in pages)
+
+
 def test_html():
     page = "<html><head><title>t</title><script>x='<p>no</p>'</script></head><body class=has-sidebar><nav><a href=x>m</a></nav><article><h1>Head &amp; more</h1><p>First   para\ngraph &eacute;.<p>Second<br>one.<div class='comments'><p>a reader</p></div></article><aside>no</aside><footer>f</footer>"
     assert html.main_text(page) == "Head & more\n\nFirst para graph é.\n\nSecond one."
@@ -374,10 +443,142 @@ def test_pii(spark, docs):
     assert pii.pii_report(docs.limit(0)).count() == 0
 
 
+def planted(n, seed):
+    """Texts with true spans and with others that look like them: (text, true strings)."""
+    own = random.Random(seed)
+    hexes = lambda k: "".join(own.choice("0123456789abcdef") for _ in range(k))
+    mixed = lambda k: "".join(own.choice("ABCDEFGHabcdefgh0123456789") for _ in range(k))
+    digits = lambda k: "".join(own.choice("23456789") for _ in range(k))
+    out = []
+    for i in range(n):
+        true, text = [], prose(12)
+        kind = i % 8
+        if kind == 0:
+            true = [f"({digits(3)}) {digits(3)}-{digits(4)}"]
+            text += f" call {true[0]}. " + prose(8)
+        elif kind == 1:
+            true = [f"{own.randint(100, 665)}-{own.randint(10, 99)}-{own.randint(1000, 9999)}"]
+            text += f" ssn: {true[0]}, " + prose(8)
+        elif kind == 2:
+            true = [mixed(12) + digits(8) + mixed(12)]
+            text += f' token = "{true[0]}" ' + prose(8)
+        elif kind == 3:
+            body = digits(18)
+            check = 98 - int(body + "131400") % 97
+            true = [f"DE{check:02d}{body}"]
+            text += f" iban {true[0]}. " + prose(8)
+        elif kind == 4:
+            text += f" in section {digits(3)}.{digits(3)}.{digits(4)}/{digits(4)} " + prose(8)
+        elif kind == 5:
+            text += f" order 000-{digits(2)}-0000 " + prose(8)
+        elif kind == 6:
+            text += f" version {'a1' * 9} " + prose(8)
+        else:
+            text += f" page XX99 {digits(4)} {digits(4)} {digits(4)} " + prose(8)
+        out.append((text, true))
+    return out
+
+
+def test_pii_on_planted_spans(spark):
+    """Trained on some texts without any label, judged on others."""
+    fit, held = planted(400, 1), planted(400, 2)
+    frame = lambda rows: spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    beta = pii.classifier(pii.found_spans(frame(fit)))
+    got = pii.found_spans(frame(held)).select("doc_id", pii.accepted(beta, F.col("proposed")).alias("s")).collect()
+    found = {(r["doc_id"], held[r["doc_id"]][0][s["start"] : s["stop"]]) for r in got for s in r["s"]}
+    want = {(i, x) for i, (_, true) in enumerate(held) for x in true}
+    assert len(found & want) >= 0.95 * len(want) and len(found & want) >= 0.95 * len(found)
+
+
+def test_reliabilities_differ_by_kind():
+    g = np.random.default_rng(4)
+    codes = []
+    for _ in range(4000):
+        kind, true = g.integers(4, 6), g.random() < 0.5
+        good = {4: (0.95, 0.6), 5: (0.6, 0.95)}[int(kind)]
+        votes = [1 if (g.random() < p) == true else -1 for p in (*good, 0.9, 0.85, 0.8, 0.75)]
+        codes.append(pii._code(pii.KINDS[kind], tuple(votes)))
+    code, n = np.unique(codes, return_counts=True)
+    _, reliable = pii.likelihoods(code, n.astype(float))
+    assert abs(reliable["secret"][0] - 0.95) < 0.04 and abs(reliable["secret"][1] - 0.6) < 0.06
+    assert abs(reliable["ssn"][0] - 0.6) < 0.06 and abs(reliable["ssn"][1] - 0.95) < 0.04
+
+
+def test_rules_do_not_depend_on_the_layout(spark):
+    rows = [(i, prose(150), 1) for i in range(200)] + [(1000 + i, " ".join(w + ("###" if rng.random() < 0.5 else "") for w in prose(150).split()), 0) for i in range(100)]
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows] + [(3, None), (None, 0)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(3, "again"), (None, "x")], "doc_id long, text string")
+    lists = [quality.fit(docs.repartition(n, "text"), labels.repartition(n)) for n in (1, 3, 7)]
+    assert lists[0] and lists[0] == lists[1] == lists[2]
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, _held long, _gone long, _q long, _spans string, slot int, sha string, alt long, _fixed int"
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, empty and repeated rows, clashing columns and empty tables, in each stage."""
+    import corpus_pipeline as cp
+
+    d = f"file://{tmp_path}"
+    item = prose(30)
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    base = [prose(120) for _ in range(5)]
+    texts = [(1, base[0]), (2, base[0]), (2, base[1]), (3, None), (4, ""), (5, f"{prose(60)} {item} {prose(60)}"), (6, f"{base[2]} mail bob@ex.example.com now"), (None, base[3]), (7, base[4]), (7, base[4])]
+    docs = spark.createDataFrame([(i, t, "l", None, len(t or ""), 1, 2, 3, "4", 5, "6", None, 8) for i, t in texts], CLASHING)
+    want = {
+        "quality_rules": [(i, t) for i, t in texts if t],
+        "near_dedup": [(1, base[0]), *[(i, t) for i, t in texts if i != 1 and i != 2]],
+        "decontamination": [(i, t) for i, t in texts if i != 5],
+        "pii": [(i, t and t.replace("bob@ex.example.com", "[EMAIL]")) for i, t in texts],
+    }
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        rows = out.collect()
+        assert sorted((r["doc_id"] or 0, r["text"] or "") for r in rows) == sorted((i or 0, t or "") for i, t in want[name]), name
+        assert all((r["lang"], r["source"], r["_held"], r["_spans"], r["_fixed"]) == ("l", None, 1, "4", 8) for r in rows)
+        assert stage(spark, docs.limit(0), d).count() == 0
+    assert cp.STAGES[-1][1](spark, docs, d).count() == len(texts)
+    assert cp.STAGES[-1][1](spark, docs.limit(0), d).count() == 0
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    d = f"file://{tmp_path}"
+    items = [prose(20) for _ in range(3)]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    good = [(i, prose(130)) for i in range(60)]
+    bad = [(100 + i, " ".join(w + "###" for w in prose(130).split())) for i in range(40)]
+    spark.createDataFrame([(i, 1, 0) for i, _ in good] + [(i, 0, 0) for i, _ in bad], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    copies = [(200 + i, good[i][1].replace(good[i][1].split()[60], "other", 1)) for i in range(8)]
+    dirty = [(300 + i, f"{prose(60)} {t} {prose(60)}") for i, t in enumerate(items)]
+    personal = [(400, prose(70) + " mail al@ex.example.com " + prose(60))]
+    docs = [*good, *bad, *copies, *dirty, *personal, (500, None), (501, "too short")]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    left = [*good, *[(i, t.replace("al@ex.example.com", "[EMAIL]")) for i, t in personal]]
+    want = []
+    for (i, _), ids in zip(left, plain_ids("byte_bpe_50k.json", [t for _, t in left]), strict=True):
+        ids = [*ids, 1]
+        want += [(i, a, len(ids[a : a + 2048]), crc(ids[a : a + 2048]), len(ids)) for a in range(0, len(ids), 2048)]
+    got = cp.run(spark, d)
+    assert sorted(tuple(r)[:5] for r in got.collect()) == sorted(want)
+
+
 def test_fixity(spark):
     pages = spark.createDataFrame([(i, f"https://h/{i}", f"<p>{i}</p>" * (i % 50 + 1), 7) for i in range(3000)] + [(5, None, None, 7), (None, "u", "x", 7)], "page_id long, url string, html string, copy int")
     hit = F.col("page_id").isin(17, 2000)
     damage = (F.when(hit, F.concat(F.lit("#"), F.substr("html", F.lit(2)))).otherwise(F.col("html")), F.coalesce(F.col("page_id") == 2500, F.lit(False)))
     got = {(r["page_id"], r["verdict"]) for r in fixity.audit(pages, damage, range_bytes=4096).collect() if r["verdict"] != "intact"}
     assert got == {(17, "altered"), (2000, "altered"), (2500, "missing")}
+    # offsets run through each file, however its rows are dealt
+    files = {}
+    for r in fixity.placed(pages.unionByName(spark.createDataFrame([(None, "u", "x" * i, 1) for i in range(50)], pages.schema))).collect():
+        files.setdefault(r["file"], []).append((r["offset"], r["length"]))
+    for places in files.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
     assert fixity.audit(pages.limit(0), damage).count() == 0
