@@ -398,7 +398,7 @@ def bucket_pointers(ctx: np.ndarray, depth: int = LENGTH, q: int = 8) -> np.ndar
     for i in range(q):
         words = (words << np.uint64(8)) | ctx[:, i : i + wide]
     flat = words.ravel()
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat)
     new = np.r_[True, flat[order][1:] != flat[order][:-1]]
     pointer = np.empty(rows * wide, np.int64)
     pointer[order] = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
@@ -409,12 +409,12 @@ def bucket_pointers(ctx: np.ndarray, depth: int = LENGTH, q: int = 8) -> np.ndar
         inside = np.arange(width - size + 1)
         at = (np.arange(rows)[:, None] * wide + inside[None, :]).ravel()
         own = pointer[at]
-        order = np.argsort(own, kind="stable")
+        order = np.argsort(own)
         edge = np.r_[True, own[order][1:] != own[order][:-1], True]
         several = order[~(edge[:-1] & edge[1:])]
         at, own = at[several], own[several]  # in the order of their buckets
         later = pointer[at + step]
-        order = np.lexsort((later, own))
+        order = np.argsort(own * len(pointer) + later)  # by bucket, then by pointer: both are below the number of positions
         at, own, later = at[order], own[order], later[order]
         start = np.r_[True, own[1:] != own[:-1]][: len(own)]
         new = start | np.r_[True, later[1:] != later[:-1]][: len(own)]
@@ -429,7 +429,8 @@ def _earlier(doc: np.ndarray, la: np.ndarray, ra: np.ndarray, ctx: np.ndarray) -
     ok = _valid(la, ra)
     row, col = np.nonzero(ok)
     name = bucket_pointers(ctx)[row, SIDE - col]
-    order = np.lexsort((doc[row], name))
+    _, rank = np.unique(doc, return_inverse=True)
+    order = np.argsort(name * len(doc) + rank[row])
     start = np.r_[True, name[order][1:] != name[order][:-1]]
     low = doc[row][order][np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))]
     hit = np.zeros(ok.shape, bool)
