@@ -17,8 +17,15 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 
-_ODD = re.compile("[\t\r\f\v\x00\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]|[ \n][ \n]")
+#: What sends a text to the tokenizer whole: two blanks in a row, and other blanks, in ASCII and beyond.
+_BLANKS = ["  ", "\n\n", " \n", "\n ", "\t", "\r", "\f", "\v", "\0", "\x1c", "\x1d", "\x1e", "\x1f"]
+_WIDE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+
+
+def _odd(t: str) -> bool:
+    return any(map(t.__contains__, _BLANKS)) or (not t.isascii() and bool(_WIDE.search(t)))
 
 
 #: Letters whose lower case depends on their neighbours or has two letters.
@@ -54,6 +61,17 @@ def _cuts_at_blanks(spec: dict) -> bool:
     )
 
 
+class _Units(dict):
+    """The units' ids; a new unit is encoded when it is asked for."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, unit: str) -> bytes:
+        self[unit] = ids = self.encode(unit)
+        return ids
+
+
 class UnitTokenizer:
     """ids(texts) gives each text's ids as little-endian unsigned 32-bit bytes."""
 
@@ -66,36 +84,30 @@ class UnitTokenizer:
         self.folds = "Lowercase" in json.dumps(spec.get("normalizer"))
         self.marks = [t["content"] for t in spec.get("added_tokens") or []]
         self.whole = not _cuts_at_blanks(spec)
-        self.seen: dict[str, bytes] = {}
+        self.seen = _Units(self._unit)
         self.most = most
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        from array import array
-
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _unit(self, unit: str) -> bytes:
+        return array("I", self.tok.encode(unit, add_special_tokens=False).ids).tobytes()
+
     def ids(self, texts: list[str]) -> list[bytes]:
         out = []
         for t in texts:
             if not t:
                 out.append(b"")
-            elif self.whole or any(m in t for m in self.marks) or _ODD.search(t):
+            elif self.whole or any(m in t for m in self.marks) or _odd(t):
                 out.append(self._encode([t])[0])
             else:
                 if self.folds and not _CASES.search(t) and (t.isascii() or unicodedata.is_normalized("NFC", t)):
                     units = _STOPS.sub(r" \1", t.lower()).split()
                 else:
                     units = t.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
-                seen = self.seen
-                try:
-                    out.append(b"".join(map(seen.__getitem__, units)))
-                except KeyError:
-                    new = list(set(units).difference(seen))
-                    if len(seen) + len(new) > self.most:
-                        seen.clear()
-                        new = list(set(units))
-                    seen.update(zip(new, self._encode(new), strict=True))
-                    out.append(b"".join(map(seen.__getitem__, units)))
+                if len(self.seen) > self.most:
+                    self.seen.clear()
+                out.append(b"".join(map(self.seen.__getitem__, units)))
         return out
 
 
