@@ -6,7 +6,9 @@ pieces joined. Where the vocabulary drops blanks and lower-cases, pieces are kep
 without blanks, and without a stop or comma that ends a word. Texts with any other blank, with two
 blanks in a row, or with the string of an added token (such as <|endoftext|>, which the tokenizers
 library reads as that token) go to the tokenizer whole, and so does every text where the vocabulary
-is of another kind. Pieces repeat far more often than texts do.
+is of another kind. Pieces repeat far more often than texts do. A new piece that is a word of Latin
+letters, punctuation, or one after the other is given to the vocabulary's merges part by part, where
+the vocabulary is known to part it there; any other goes through the tokenizer.
 
 Edge cases: a null or empty text has no ids; texts of any length are encoded whole.
 """
@@ -33,6 +35,41 @@ _CASES = re.compile("[Σİẞŉǰΐΰ]|'")
 _STOPS = re.compile(r"(?<=[a-z])([.,])(?=[ \n]|$)")
 
 
+#: Fixed value: the pattern by which a lower-casing public vocabulary parts a text.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A word and what follows it, in characters that any version of Unicode calls letters or punctuation.
+_PUNCTUATION = r"!-&(-/:-@\[-`{-~"
+_FOLDED = re.compile(f"([a-zß-öø-ÿ]+)?([{_PUNCTUATION}]+)?")
+_BLANK_LED = re.compile(f"(\n)?( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)?( ?[{_PUNCTUATION}]+)?")
+
+
+def _parts(spec: dict) -> re.Pattern | None:
+    """What parts a unit as the vocabulary does, where that is known."""
+    before = spec.get("pre_tokenizer") or {}
+    steps = before.get("pretokenizers") or [before]
+    if steps[-1].get("type") != "ByteLevel" or spec["model"].get("dropout"):
+        return None
+    if len(steps) == 1 and not spec.get("normalizer") and steps[0].get("use_regex", True):
+        return _BLANK_LED
+    if len(steps) == 2 and steps[0].get("pattern") == {"Regex": _WORDS} and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and not steps[1].get("use_regex", True):
+        return _FOLDED
+    return None
+
+
+def _byte_letters() -> dict[int, str]:
+    """Each byte as byte-level vocabularies write it: itself where it is seen, else the next free letter."""
+    out, free = {}, 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 255 and b != 173:
+            out[b] = chr(b)
+        else:
+            out[b], free = chr(free), free + 1
+    return out
+
+
+_LETTERS = _byte_letters()
+
+
 def _cuts_at_blanks(spec: dict) -> bool:
     """Whether a vocabulary is known to give the same ids for a text cut before its single blanks."""
 
@@ -84,6 +121,7 @@ class UnitTokenizer:
         self.folds = "Lowercase" in json.dumps(spec.get("normalizer"))
         self.marks = [t["content"] for t in spec.get("added_tokens") or []]
         self.whole = not _cuts_at_blanks(spec)
+        self.parts, self.model = _parts(spec), self.tok.model
         self.seen = _Units(self._unit)
         self.most = most
 
@@ -91,6 +129,12 @@ class UnitTokenizer:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _unit(self, unit: str) -> bytes:
+        found = self.parts and self.parts.fullmatch(unit)
+        parts = [p for p in found.groups() if p] if found else []
+        if len(parts) > 1:
+            return b"".join(map(self.seen.__getitem__, parts))
+        if parts:
+            return array("I", [t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
         return array("I", self.tok.encode(unit, add_special_tokens=False).ids).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:

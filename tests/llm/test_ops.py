@@ -342,6 +342,20 @@ def test_tokens_against_the_library(rows):
     assert not _cuts_at_blanks({"model": {"type": "BPE", "vocab": {"a\u0120b": 1}}, "pre_tokenizer": {"type": "ByteLevel"}})
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_units_by_parts_against_the_library(name):
+    from shelfmark.llm.tokens import UnitTokenizer, vocabulary
+
+    g = random.Random(11)
+    letters = [*"abcABZ019éßÿÖñ×÷ªµº·¿’ \n\x7f\xad", *map(chr, range(33, 65)), *"[\\]^_`{|}~", "'s", "'ll", "\u0301", "日", "Ⅷ", "ŉ", "İ", "ǆ", "ﬁ"]
+    texts = ["".join(g.choices(letters, k=g.randint(1, 40))) for _ in range(3000)]
+    words = ["".join(g.choices("abcdeéßö.,*#$<>", k=g.randint(1, 9))) for _ in range(2000)]
+    texts += [" ".join(g.choices(words, k=20)) for _ in range(300)]
+    own = UnitTokenizer(vocabulary(name))
+    assert own.parts
+    assert [np.frombuffer(x, np.uint32).tolist() for x in own.ids(texts)] == plain_ids(name, texts)
+
+
 @pytest.fixture(scope="module")
 def token_rows(rows):
     """With added tokens in texts, and one doc_id on several texts and repeated."""
