@@ -124,6 +124,18 @@ def topic_path(path: Column, view: str) -> Column:
     return F.nullif(F.regexp_extract(path, rf"^/topics/([a-z0-9][a-z0-9-]*)/{view}/?$", 1), F.lit(""))
 
 
+#: How HTML text is written, the ampersand first.
+HTML_TEXT = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&#34;", "'": "&#39;", "+": "&#43;", "\0": "\ufffd"}
+
+
+def html_text(x: Column) -> Column:
+    """A value as text of an HTML page; null is empty."""
+    out = F.coalesce(x.cast("string"), F.lit(""))
+    for a, b in HTML_TEXT.items():
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
 def status_label(status: Column, run_status: Column, stage: Column) -> Column:
     shown = (status == "searching") & (run_status == "running") & (strip(stage) != "")
     return F.when(F.coalesce(shown, F.lit(False)), stage).otherwise(status)

@@ -41,7 +41,19 @@ def get_or_create(assignments: DataFrame, wanted: DataFrame, topics: DataFrame,
     active topics are made and get the next ids."""
     active = topics.filter("status = 'active'").select(F.col("id").alias("topic_id"))
     missing = wanted.select("topic_id", "reading_date").distinct().join(assignments, ["topic_id", "reading_date"], "left_anti").join(active, "topic_id", "left_semi")
-    made = rotation(pages, missing)
+    return _appended(assignments, rotation(pages, missing), now)
+
+
+def assign_titled(assignments: DataFrame, wanted: DataFrame, topics: DataFrame, pages: DataFrame, now: datetime) -> DataFrame:
+    """The assignments with those of wanted (slug, title, reading_date), whose topic and page are found by
+    slug and title. Stored ones of a topic and day stand; of several pages the least id is taken."""
+    t = topics.select(F.col("id").alias("topic_id"), "slug")
+    p = pages.select("topic_id", "title", F.col("id").alias("page_id"))
+    made = wanted.join(t, "slug").join(p, ["topic_id", "title"]).groupBy("topic_id", "reading_date").agg(F.min("page_id").alias("page_id"))
+    return _appended(assignments, made.join(assignments, ["topic_id", "reading_date"], "left_anti"), now)
+
+
+def _appended(assignments: DataFrame, made: DataFrame, now: datetime) -> DataFrame:
     top = assignments.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     numbered = number_rows(made, ["topic_id", "reading_date"], "_n").crossJoin(F.broadcast(top))  # one row
     new = numbered.select((F.col("top") + F.col("_n")).cast("long").alias("id"), "topic_id", "reading_date", "page_id", at(now).alias("created_at"))

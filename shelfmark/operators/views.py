@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import status_label
+from ..functions.scalars import html_text, status_label
 from .ledger import latest_runs
 
 
@@ -74,3 +74,19 @@ def as_json(rows: DataFrame) -> DataFrame:
     """One row with a JSON array; of no rows, an empty one. The array is made in one task: rows are those
     of a listing, with a limit."""
     return rows.agg(F.coalesce(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("slug"), F.col("name"))))), F.lit("[]")).alias("body"))
+
+
+def html_rows(rows: DataFrame, cells: list[str]) -> DataFrame:
+    """rows with html, their cells as a row of a table."""
+    tds = [F.concat(F.lit("<td>"), html_text(F.col(c)), F.lit("</td>")) for c in cells]
+    return rows.withColumn("html", F.concat(F.lit("<tr>"), *tds, F.lit("</tr>")))
+
+
+def as_html(rows: DataFrame, heading: str, cells: list[str]) -> DataFrame:
+    """One row with a page of the cells, in their order, under a heading. The page is made in one task: rows
+    are those of a listing, with a limit."""
+    listed = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in cells], "html")))
+    title = html_text(F.lit(heading))
+    body = F.concat(F.lit("<h1>"), title, F.lit("</h1><table>"), F.array_join(F.transform(listed, lambda r: r["html"]), ""), F.lit("</table>"))
+    head = F.concat(F.lit('<!doctype html><html><head><meta charset="utf-8"><title>'), title, F.lit("</title></head><body>"))
+    return html_rows(rows, cells).agg(F.concat(head, body, F.lit("</body></html>")).alias("body"))

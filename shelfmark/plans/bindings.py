@@ -672,3 +672,30 @@ def review_answer_text(spark, d):
     nested = F.array(part(F.lit("(")), part(F.col("text")), part(F.lit(")")))
     body = F.to_json(F.struct(F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(" ").alias("output_text"), nested.alias("output")))
     return answer_text(c.select("conv_id", "turn", body.alias("body"))).select("conv_id", "turn", "text")
+
+
+@query(f"""WITH {_TOPICS}, {_STORED}, w AS (SELECT 'customer-' || lpad(CAST(p_size AS VARCHAR), 9, '0') AS slug, p_name AS title, DATE '1997-01-01' + CAST(p_partkey % 700 AS INTEGER) AS reading_date FROM part),
+m AS (SELECT t.id AS topic_id, reading_date, min(st.id) AS page_id FROM w JOIN topics t USING (slug) JOIN st ON st.topic_id = t.id AND st.title = w.title GROUP BY 1, 2), o AS (SELECT o_orderkey AS id, o_custkey AS topic_id, CAST(o_orderdate AS DATE) AS reading_date, o_orderkey % 200 + 1 AS page_id FROM orders)
+SELECT * FROM o UNION ALL SELECT (SELECT max(id) FROM o) + row_number() OVER (ORDER BY topic_id, reading_date), topic_id, reading_date, page_id FROM m ANTI JOIN o USING (topic_id, reading_date)""")
+def assign_titled(spark, d):
+    """Every page is asked for by its topic's slug and its title."""
+    slug = F.concat(F.lit("customer-"), F.lpad(F.col("p_size").cast("string"), 9, "0"))
+    day = F.date_add(F.lit("1997-01-01").cast("date"), (F.col("p_partkey") % 700).cast("int"))
+    wanted = T(spark, d, "part").select(slug.alias("slug"), F.col("p_name").alias("title"), day.alias("reading_date"))
+    return rotation.assign_titled(assignments(spark, d), wanted, topics(spark, d), stored_pages(spark, d), NOW).select("id", "topic_id", "reading_date", "page_id")
+
+
+_HTML = "replace(replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&#34;'), chr(39), '&#39;'), '+', '&#43;')"
+
+
+@query(f"SELECT page_id, '<tr><td>' || page_id || '</td><td>' || {_HTML.format('url')} || '</td><td>' || {_HTML.format('html')} || '</td></tr>' AS html FROM pages")
+def page_rows_html(spark, d):
+    """Every page's markup, shown as text."""
+    return views.html_rows(T(spark, d, "pages").withColumnRenamed("html", "source"), ["page_id", "url", "source"]).select("page_id", "html")
+
+
+@query(f"""WITH {_TOPICS}, s AS (SELECT slug, name FROM topics WHERE status = 'active' ORDER BY name, slug LIMIT 10)
+SELECT '<!doctype html><html><head><meta charset="utf-8"><title>Topics &amp; names</title></head><body><h1>Topics &amp; names</h1><table>' || string_agg('<tr><td>' || slug || '</td><td>' || name || '</td></tr>', '' ORDER BY slug, name) || '</table></body></html>' AS body FROM s""")
+def topics_as_html(spark, d):
+    """The page of the first ten topics."""
+    return views.as_html(views.search_topics(topics(spark, d)), "Topics & names", ["slug", "name"])

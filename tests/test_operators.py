@@ -83,6 +83,10 @@ def test_views_and_json(spark):
     assert [r["slug"] for r in views.search_topics(topics, "Ru").collect()] == ["rust"]
     assert views.exact_topic(topics, " GO ").first()["id"] == 2
     assert views.as_json(topics.limit(0)).first()["body"] == "[]"
+    odd = spark.createDataFrame([("b", "<i>'1'+\"2\" & 3"), ("a", None)], "slug string, name string")
+    page = views.as_html(odd, "A & B", ["slug", "name"]).first()["body"]
+    assert page.endswith("<h1>A &amp; B</h1><table><tr><td>a</td><td></td></tr><tr><td>b</td><td>&lt;i&gt;&#39;1&#39;&#43;&#34;2&#34; &amp; 3</td></tr></table></body></html>")
+    assert views.as_html(odd.limit(0), "", ["slug"]).first()["body"].endswith("<h1></h1><table></table></body></html>")
     body = spark.createDataFrame([('{"output":[{"content":[{"text":"a"},{"text":"b"}]},{"content":[{"text":"c"}]}]}',)], "body string")
     assert edges.answer_text(body).first()["text"] == "abc"
 
