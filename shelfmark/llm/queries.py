@@ -69,4 +69,34 @@ s AS (SELECT page_id, file, CAST(strlen(record) AS BIGINT) AS n_bytes, sha256(re
 SELECT page_id, file, CAST(sum(n_bytes) OVER (PARTITION BY file ORDER BY page_id, sha256 ROWS UNBOUNDED PRECEDING) - n_bytes AS BIGINT) AS warc_offset, n_bytes, sha256,
   CASE WHEN page_id % 211 = 5 THEN 'missing' WHEN page_id % 97 = 11 THEN 'altered' ELSE 'intact' END AS verdict
 FROM s""",
+    "op5_bucket_refinement": r"""
+WITH t AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+cut AS (SELECT doc_id, k, substr(h, 512 * k + 1, 610) AS c FROM t, LATERAL (SELECT unnest(range(0, (n + 255) // 256)) AS k)),
+w AS (SELECT doc_id, 256 * k + i AS s, unhex(substr(c, 2 * i + 1, 100)) AS b FROM cut, LATERAL (SELECT unnest(range(0, least(256, length(c) // 2 - 49))) AS i)),
+least_id AS (SELECT b, min(doc_id) AS first FROM w GROUP BY b HAVING count(*) > 1),
+gone AS (SELECT w.doc_id, w.s FROM w JOIN least_id l ON w.b = l.b AND l.first < w.doc_id),
+marked AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS opens FROM gone),
+runs AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS z FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM marked) GROUP BY doc_id, run),
+sums AS (SELECT doc_id, count(*) AS spans, sum(z - a) AS bytes FROM runs GROUP BY doc_id),
+edges AS (SELECT doc_id, a, z FROM runs UNION ALL SELECT doc_id, n, n FROM t),
+pieces AS (SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a, z), 0) AS since FROM edges),
+kept AS (SELECT p.doc_id, string_agg(substr(t.h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS h FROM pieces p JOIN t ON p.doc_id = t.doc_id GROUP BY p.doc_id)
+SELECT t.doc_id, CAST(t.n AS BIGINT) AS n_bytes, CAST(coalesce(bytes, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM t LEFT JOIN sums ON t.doc_id = sums.doc_id JOIN kept ON t.doc_id = kept.doc_id""",
+    "op8_lsh_forest": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM words),
+members AS (SELECT doc_id, s, len(s) AS n, min(doc_id) OVER (PARTITION BY s) AS c FROM sets),
+classes AS (SELECT c, s, n FROM members WHERE doc_id = c),
+shingles AS (SELECT c, n, unnest(s) AS x FROM classes),
+links AS (
+  SELECT a.c AS p, b.c AS q FROM shingles a JOIN shingles b ON a.x = b.x AND a.c <> b.c AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (SELECT c AS p, c AS q FROM classes WHERE n > 0 UNION SELECT r.p, l.q FROM reach r JOIN links l ON r.q = l.p),
+components AS (SELECT p AS c, min(q) AS component_id FROM reach GROUP BY p)
+SELECT m.doc_id, CAST(m.n AS BIGINT) AS n_shingles, CAST(coalesce(k.component_id, m.doc_id) AS BIGINT) AS component_id, m.doc_id = coalesce(k.component_id, m.doc_id) AS kept
+FROM members m LEFT JOIN components k ON m.c = k.c""",
 }
