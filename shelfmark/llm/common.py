@@ -40,6 +40,13 @@ def clear(spark: SparkSession, *keep: str) -> None:
     _PATHS[spark.sparkContext.applicationId] = list(keep)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete one scratch path that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _PATHS[spark.sparkContext.applicationId].remove(path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fixity, html, neardup, packing, pfor, pii, quality, sharding, substrings
+from . import centroids, decontaminate, fixity, html, neardup, packing, pfor, pii, quality, replay, secrets, sharding, substrings
 from .common import table
 
 
@@ -53,12 +53,64 @@ def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op11_grammar_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_hamerly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc_fixity, op2_cgk_decontamination, op3_feistel_shards, op4_decision_list, op5_bucket_refinement, op6_pfor_tokens, op7_tag_ratio_text, op8_lsh_forest, op9_shortest_pack, op10_weak_pii)
+    for f in (
+        op1_warc_fixity, op2_cgk_decontamination, op3_feistel_shards, op4_decision_list, op5_bucket_refinement, op6_pfor_tokens, op7_tag_ratio_text, op8_lsh_forest, op9_shortest_pack,
+        op10_weak_pii, op11_grammar_secrets, op12_filter_replay, op13_hamerly_clusters,
+    )
 }
 
+def _clusters_sql(clusters: int = 40, rounds: int = 5, width: int = 64) -> str:
+    """One common table an assignment (a) and one a set of centroids (c)."""
+    parts = [
+        f"k AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {width})",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS INTEGER) AS c, v FROM k QUALIFY c < {clusters})",
+    ]
+    for i in range(rounds + 1):
+        d = "CAST(list_inner_product(k.v, k.v) - 2 * list_inner_product(k.v, c.v) + list_inner_product(c.v, c.v) AS BIGINT)"
+        parts.append(f"a{i} AS MATERIALIZED (SELECT vec_id, any_value(k.v) AS v, min(struct_pack(d := {d}, c := c)) AS best FROM k, c{i} c GROUP BY vec_id)")
+        if i < rounds:
+            parts.append(f"s{i} AS (SELECT best.c AS c, j, CAST(sum(CAST(v[j] AS BIGINT)) // count(*) - (sum(CAST(v[j] AS BIGINT)) < 0 AND sum(CAST(v[j] AS BIGINT)) % count(*) <> 0)::INT AS DOUBLE) AS x FROM a{i}, range(1, {width + 1}) t(j) GROUP BY 1, 2)")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(any_value(n.v), any_value(o.v)) AS v FROM c{i} o LEFT JOIN (SELECT c, list(x ORDER BY j) AS v FROM s{i} GROUP BY c) n USING (c) GROUP BY o.c)")
+    return f"""WITH {', '.join(parts)},
+facts AS (SELECT best.c AS c, sum(best.d) AS s FROM a{rounds} GROUP BY 1)
+SELECT vec_id, best.c AS cluster, best.d AS distance, CAST(f.s AS BIGINT) AS cluster_inertia, CAST((SELECT sum(s) FROM facts) AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c.v, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN facts f ON f.c = best.c JOIN c{rounds} c ON c.c = best.c"""
+
+
 ORACLES = {
+    "op12_filter_replay": r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+f AS (
+  SELECT doc_id, part, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+docs AS (SELECT part, map(['A', 'B', 'C', 'D', 'E'], [a, b, c, d, e]) AS fails, a::INT + b::INT + c::INT + d::INT + e::INT AS n, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM f LEFT JOIN l USING (doc_id)),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x),
+steps AS (SELECT filter_order, step, substr(filter_order, step, 1) AS filter, list_transform(range(1, step), lambda i: substr(filter_order, i, 1)) AS before FROM orders, range(1, 6) t(step)),
+rows AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter, fails[filter] AS here, len(list_filter(before, lambda x: fails[x])) > 0 AS gone, n, good, toxic FROM docs, steps),
+sums AS (
+  SELECT part, filter_order, step, filter, count(*) FILTER (NOT gone AND NOT here) AS kept, count(*) FILTER (here AND NOT gone) AS removed, count(*) FILTER (here AND gone) AS redundant,
+    count(*) FILTER (here AND n = 1) AS unique_fails, count(*) FILTER (here AND NOT gone AND good) AS good_lost, count(*) FILTER (here AND NOT gone AND toxic) AS toxic_lost FROM rows GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM sums""",
+    "op13_hamerly_clusters": _clusters_sql(),
     "op1_warc_fixity": r"""
 WITH r AS (
   SELECT page_id, 'part-' || lpad(CAST(coalesce(page_id // 1024, -1) AS VARCHAR), 10, '0') || '.warc' AS file,
