@@ -8,7 +8,8 @@ lines' text votes for the element that holds the article: one that is named so,
 with most of it, widened to a heading and to content beside it. In that element content lines and
 headings stay; a line with a low ratio goes if links make it up, and, in an element that isn't named
 as the article, unless it is a paragraph, list item or cell in line with content. So short paragraphs
-stay. The time grows with the number of tags, however deep they are.
+stay. The time grows with the number of tags, however deep they are, and with
+the length of what isn't closed.
 
 Edge cases: a null, empty or textless page gives an empty text; text outside any element is a block;
 broken and unclosed markup, of any depth and length, is read as far as it goes; repeated rows and ties
@@ -21,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -42,6 +44,7 @@ _LEAVES = frozenset("p li td th tr dt dd pre blockquote figcaption caption summa
 _OTHER = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner sidebar aside rail menu submenu nav navbar navigation navigational breadcrumb breadcrumbs footer foot cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments disqus respond replies reply related recommended recommendations widget widgets search toolbar pagination pager masthead topbar copyright disclaimer skip hidden".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar note form".split())
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_COMMENT_END, _SECTION, _SECTION_END, _OFFICE_END, _TAG_END = map(re.compile, (r"--\s*>", r"<!\[\s*([A-Za-z]*)", r"\]\s*\]\s*>", r"\]\s*>", ">"))
 _CLOSES_P = _BLOCKS - frozenset(["html", "body"])
 
 
@@ -60,11 +63,42 @@ class _Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, int]] = []
         self.never = self.tags = self.link_chars = 0
         self.buffer: list[str] = []
+        self.endless: dict[re.Pattern, int] = {}
 
     def updatepos(self, i: int, j: int) -> int:
         """Line numbers aren't needed."""
         return j
 
+    def read(self, html: str) -> None:
+        """Feed a whole page. After the last > no tag can end, so all that follows is text; the parser
+        would search every < of it to the end."""
+        cut = html.rfind(">") + 1
+        self.feed(html[:cut])
+        self.close()
+        if not self.cdata_elem:
+            self.handle_data(unescape(html[cut:]))
+        self.flush()
+
+    def _ends(self, mark: re.Pattern, i: int) -> int:
+        """The end of the next mark from i on, or -1. Where none was found, none is sought again."""
+        left = len(self.rawdata) - i
+        if left <= self.endless.get(mark, -1):
+            return -1
+        found = mark.search(self.rawdata, i)
+        if found:
+            return found.end()
+        self.endless[mark] = left
+        return -1
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        return self._ends(_COMMENT_END, i + 4)
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        name = _SECTION.match(self.rawdata, i)[1].lower()
+        if name in ("temp", "cdata", "ignore", "include", "rcdata"):
+            return self._ends(_SECTION_END, i + 3)
+        return self._ends(_OFFICE_END if name in ("if", "else", "endif") else _TAG_END, i + 3)
+
     def flush(self) -> None:
         text = " ".join("".join(self.buffer).split())
         if text:
@@ -161,12 +195,7 @@ def threshold(values: np.ndarray) -> float:
 
 def main_text(html: str | None) -> str:
     p = _Lines()
-    try:
-        p.feed(html or "")
-        p.close()
-    except AssertionError:  # of the parser, on some broken declarations: what was read so far counts
-        pass
-    p.flush()
+    p.read(html or "")
     if not p.lines:
         return ""
     n, tag, parent = len(p.tag), p.tag, p.parent

@@ -11,9 +11,10 @@ the words around it beside its kind and votes, and decides for every candidate.
 touches a fixed-pattern span goes.
 
 Only the classifier's fit uses a bounded sample: at most FIT candidates, those with the least hash of
-document and place. The votes are counted over all documents.
+votes, measures and place. The votes are counted over all documents.
 
-Edge cases: a null or empty text has no spans; a text of any length is searched whole; a null doc_id
+Edge cases: a null or empty text has no spans; a text of any length is searched whole,
+in time that grows with its length and its number of spans; a null doc_id
 is kept; repeated rows and rows that share a doc_id are searched each; of candidates that overlap the
 first and longest stands; with no candidate in the table nothing is trained; an empty table gives an
 empty result; pii_report ignores other columns, pii_redact returns them as they are, whatever their
@@ -24,22 +25,27 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import free_name, small_batches, stage
+from .common import free_name, map_rows, small_batches, stage
 
 BASE = ["email", "ip", "card", "phone"]
 #: Kinds that candidates add; a local telephone number counts as phone.
 ADDED = ["phone", "secret", "ssn", "iban", "email"]
 KINDS = ["email", "ip", "card", "phone", "secret", "ssn", "iban"]
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# Each search starts once in a run of characters: where the run's first start fails, so do the later ones.
+_LOCAL_PART = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]+)+")
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -82,11 +88,24 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """The leftmost addresses that don't overlap: from the start of what stands before an @, but not from
+    before the end of the last one."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = done + len(text[done:at].rstrip(_LOCAL_PART))
+        found = _DOMAIN.match(text, at + 1) if start < at else None
+        if found:
+            yield start, found.end()
+        done = found.end() if found else at + 1
+        at = text.find("@", done)
+
+
 def fixed_spans(text: str) -> list[tuple[int, int, str]]:
     """The base spans, by start and then kind as listed."""
     out = []
     if "@" in text:
-        out += [(m.start(), m.end(), "email") for m in _EMAIL.finditer(text)]
+        out += [(a, z, "email") for a, z in emails(text)]
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
             if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
@@ -116,7 +135,7 @@ def _votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
         shape, made = 1 if "(" in body or body.count("-") == 2 else 0, 1 if ten[0] not in "01" and ten[3] not in "01" else (0 if ten[3] not in "01" else -1)
     elif kind == "secret":
         flat = body.strip("=/-_+")
-        h = _entropy(flat[:256])
+        h = _entropy(flat)
         shape, made = 1 if re.fullmatch(r"[0-9a-f]{32,}|[A-Za-z0-9+/_-]{20,}", flat) and len(digits) >= 4 else -1, 1 if h >= 3 and len(digits) >= 4 else (-1 if h < 2.5 or flat.isdigit() else 0)
         known = 1 if body.startswith(_PREFIXES) else 0
     elif kind == "ssn":
@@ -141,7 +160,7 @@ MEASURES = ["length", "digits", "upper", "parts", "entropy", "own_line", "quoted
 
 def measures(text: str, start: int, end: int) -> list[float]:
     """Measures of a span and of what stands around it, each about 0 to 1."""
-    body, before, after = text[start : min(end, start + 256)], text[max(0, start - 48) : start], text[end : end + 1]
+    body, before, after = text[start:end], text[max(0, start - 48) : start], text[end : end + 1]
     n = len(body)
     near = before.split()
     return [
@@ -168,10 +187,12 @@ def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
         found += [(m.start(), m.end(), "ssn") for m in _SSN.finditer(text)]
         found += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text)]
         found += [(m.start(), m.end(), "secret") for m in _SECRET.finditer(text)]
-    out, busy = [], [(s, e) for s, e, _ in taken]
+    starts, ends, last = [s for s, _, _ in taken], list(accumulate((e for _, e, _ in taken), max)), 0
+    out = []
     for s, e, k in sorted(found, key=lambda c: (c[0], -c[1], c[2])):
-        if not any(s < y and x < e for x, y in busy):
-            busy.append((s, e))
+        before = bisect_left(starts, e)  # the fixed spans that start before this one ends
+        if s >= last and (not before or ends[before - 1] <= s):
+            last = e
             out.append((s, e, k, _votes(k, text, s, e)))
     return out
 
@@ -270,8 +291,8 @@ def found_spans(docs: DataFrame, fixed: str = "fixed", proposed: str = "proposed
                 new.append([{"start": s, "stop": e, "kind": k, "pattern": _code(k, v), "around": measures(t, s, e)} for s, e, k, v in candidates(t or "", spans)])
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(own, pa.list_(span)), pa.array(new, pa.list_(more))], [*(b.schema.names[i] for i in kept), fixed, proposed])
 
-    kinds = [f"`{docs.columns[i].replace('`', '``')}` {docs.dtypes[i][1]}" for i in kept]
-    return docs.mapInArrow(run, ", ".join([*kinds, f"`{fixed}` {FIXED}", f"`{proposed}` {PROPOSED}"]))
+    more_fields = T.StructType.fromDDL(f"{fixed} {FIXED}, {proposed} {PROPOSED}")
+    return map_rows(docs, run, T.StructType([*(docs.schema.fields[i] for i in kept), *more_fields]))
 
 
 def classifier(found: DataFrame, proposed: str = "proposed", most: int = FIT) -> np.ndarray | None:
@@ -347,5 +368,5 @@ def pii_redact(docs: DataFrame) -> DataFrame:
             kept = [pa.array(text, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(kept, b.schema.names[:-1])
 
-    out = rows.mapInArrow(run, rows.drop(spans).schema)
+    out = map_rows(rows, run, rows.drop(spans).schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

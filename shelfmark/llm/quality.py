@@ -11,7 +11,9 @@ their id. Everything else covers every document.
 
 Edge cases: a null or empty text has no words and fails the base; labels that are null are ignored
 and of repeated labels the worst counts; with no labels of both kinds the list is empty and the base
-alone decides; repeated rows are judged each; an empty table gives an empty result.
+alone decides; texts of any length are judged whole; repeated rows are judged each; an empty table
+gives an empty result; quality_report ignores other columns, quality_filter returns them as they are,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import free_name, map_rows, small_batches
 
 SAMPLE = 20_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -92,8 +95,7 @@ def measured(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
             cols = [pa.array(counts[:, i].astype(np.int64)) for i in range(len(COUNTS))] + [pa.array(shares[:, i].astype(float)) for i in range(len(SHARES))] if got else [pa.array([], f.type) for f in _ARROW]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays(cols, fields=list(_ARROW))], [*b.schema.names, name])
 
-    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{kinds}, `{name}` {STRUCT}")
+    return map_rows(docs, run, T.StructType([*docs.schema, *T.StructType.fromDDL(f"{name} {STRUCT}")]))
 
 
 @dataclass(frozen=True)
@@ -216,8 +218,6 @@ def quality_filter(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """The rows of docs that are kept, with their own columns."""
     small_batches(docs.sparkSession)
     rules = fit(docs, labels, sample)
-    name = "_q"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs, "_q")
     q = F.col(name)
     return measured(docs, name).filter(~base_failed(q) & verdict(rules, q)).drop(name)

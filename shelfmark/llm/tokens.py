@@ -10,6 +10,9 @@ is of another kind. Pieces repeat far more often than texts do. A new piece that
 letters, punctuation, or one after the other is given to the vocabulary's merges part by part, where
 the vocabulary is known to part it there; any other goes through the tokenizer.
 
+The memory is bounded by its bytes, and a unit over LONGEST characters is encoded and not kept: texts
+without blanks, as in Chinese or Japanese or encoded data, are one unit each and don't repeat.
+
 Edge cases: a null or empty text has no ids; texts of any length are encoded whole.
 """
 
@@ -18,6 +21,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import unicodedata
 from array import array
 
@@ -98,21 +102,35 @@ def _cuts_at_blanks(spec: dict) -> bool:
     )
 
 
+#: Longer units are not kept, and the kept ones are let go when they take so many bytes.
+LONGEST, MOST_BYTES = 64, 192 << 20
+#: What a unit takes beside its two objects: its place in the table, which is a third empty and is doubled.
+_PLACE = 150
+
+
 class _Units(dict):
-    """The units' ids; a new unit is encoded when it is asked for."""
+    """The units' ids; a new unit is encoded when it is asked for. n_bytes: what the kept ones take."""
 
     def __init__(self, encode):
         self.encode = encode
+        self.n_bytes = 0
 
     def __missing__(self, unit: str) -> bytes:
-        self[unit] = ids = self.encode(unit)
+        ids = self.encode(unit)
+        if len(unit) <= LONGEST:
+            self[unit] = ids
+            self.n_bytes += sys.getsizeof(unit) + sys.getsizeof(ids) + _PLACE
         return ids
 
+    def empty(self) -> None:
+        self.clear()
+        self.n_bytes = 0
+
 
 class UnitTokenizer:
     """ids(texts) gives each text's ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = MOST_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -149,8 +167,8 @@ class UnitTokenizer:
                     units = _STOPS.sub(r" \1", t.lower()).split()
                 else:
                     units = t.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
-                if len(self.seen) > self.most:
-                    self.seen.clear()
+                if self.seen.n_bytes > self.most:
+                    self.seen.empty()
                 out.append(b"".join(map(self.seen.__getitem__, units)))
         return out
 

@@ -2,11 +2,14 @@
 
 import hashlib
 import random
+import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.llm import decontaminate, fixity, html, neardup, packing, pfor, pii, quality, sharding, substrings
 
@@ -342,6 +345,23 @@ def test_tokens_against_the_library(rows):
     assert not _cuts_at_blanks({"model": {"type": "BPE", "vocab": {"a\u0120b": 1}}, "pre_tokenizer": {"type": "ByteLevel"}})
 
 
+def test_memory_of_units_is_bounded():
+    """Texts without blanks aren't kept; the kept units are let go when they take too many bytes."""
+    from shelfmark.llm import tokens
+
+    own = random.Random(8)
+    t = tokens.UnitTokenizer(tokens.vocabulary("byte_bpe_50k.json"), 200_000)
+    texts = ["".join(chr(own.randrange(0x4E00, 0x9FA0)) for _ in range(300)) for _ in range(500)] + ["".join(own.choice("abcdef0123456789+/") for _ in range(2000)) for _ in range(200)]
+    assert t.ids(texts) == t._encode(texts)
+    assert not any(len(u) > tokens.LONGEST for u in t.seen) and t.seen.n_bytes < 200_000
+    words = [" ".join("".join(own.choice("abcdefghij") for _ in range(8)) for _ in range(200)) for _ in range(100)]
+    most = 0
+    for w in words:
+        assert t.ids([w]) == t._encode([w])
+        most = max(most, t.seen.n_bytes)
+    assert most < 200_000 + 200 * 400  # one text's units beyond the bound
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_units_by_parts_against_the_library(name):
     from shelfmark.llm.tokens import UnitTokenizer, vocabulary
@@ -443,6 +463,42 @@ def test_html():
     assert html.main_text(None) == html.main_text("") == html.main_text("<nav>x</nav>") == ""
 
 
+def brute_personal(t):
+    """The contract's four patterns, written out here."""
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    out = [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if max(map(int, m.group().split("."))) <= 255]
+    out += [(m.start(), 2, m.end(), "card") for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 12 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    out += [(m.start(), 3, m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m)) <= 15]
+    return [f"{k}:{s}:{e}" for s, _, e, k in sorted(out)]
+
+
+def test_base_personal_data_against_the_contract(spark, docs):
+    own = random.Random(6)
+    alphabets = ["a@.-_%1 ", "12.", "0123456789 -", "+12 ().-", "aA1.@-+ %_(b)9/\n"]
+    texts = ["".join(own.choice(a) for _ in range(own.randrange(60))) for a in alphabets * 400]
+    texts += ["4111 1111 1111 1111", "4111-1111-1111-1112", "a@b.c_x@d.e", "a@b.c.@d.e", "1.2.3.4.5.6.7.8", "001.2.3.4", "256.1.1.1", "+1 (212) 555-7001 +49", "é𝔘 a@b.de", "x@y", "@@a.b@c.d"]
+    rows = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in pii.pii_report(rows).collect()}
+    for i, t in enumerate([*texts, ""]):
+        b = brute_personal(t)
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(b).encode()).hexdigest(), t
+        assert [got[i][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(x.startswith(k) for x in b) for k in ("email", "ip", "card", "phone")]
+        assert set(b) <= set(got[i]["spans"].split(","))
+
+
+def test_long_texts_cost_their_length():
+    """A megabyte of what isn't closed, of letters with one @, and many numbers; each took minutes or hours."""
+    began = time.time()
+    for p in ("<div ", "<a b='", '<a b="', "<!-- <p>", "<!--", "<a/", "<a =", "<script", "<![CDATA[", "<p>a<div "):
+        html.main_text(p * (1_000_000 // len(p)))
+    assert html.main_text("<p>one</p><!-- two <p>three</p> " + "<div " * 200_000).startswith("one")
+    for t in ("a" * 1_000_000 + " @", "a@" * 500_000, "1" * 1_000_000, "1." * 500_000, " ".join(f"{i:03d}-{i % 89 + 10}-{i + 1000:04d}" for i in range(100, 900)) * 120, "+1(" * 300_000, "Aa1" * 300_000):
+        pii.candidates(t, pii.fixed_spans(t))
+    assert time.time() - began < 60
+
+
 def test_pii(spark, docs):
     text = "mail bob.1@ex-a.example.com, call +1 (212) 555-7001 or (212) 555-7002; ip 10.0.300.1 and 10.0.0.255 card 4111 1111 1111 1111 token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" é"
     got = {k: text[s:e] for s, e, k in pii.fixed_spans(text)}
@@ -450,8 +506,7 @@ def test_pii(spark, docs):
     many = spark.createDataFrame([(i, text) for i in range(20)] + [(100, "plain words 12 and 1234-5678"), (101, None), (None, "")], "doc_id long, text string")
     r = {x["doc_id"]: x for x in pii.pii_report(many).collect()}
     assert "secret:" in r[3]["spans"] and r[3]["n_email"] == 1 and r[100]["spans"] == r[101]["spans"] == ""
-    want = ",".join(f"{k}:{s}:{e}" for s, e, k in pii.fixed_spans(text))
-    assert r[3]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+    assert r[3]["base_sha256"] == hashlib.sha256(",".join(brute_personal(text)).encode()).hexdigest()
     clean = {x["doc_id"]: x["text"] for x in pii.pii_redact(many).collect()}
     assert "[EMAIL]" in clean[3] and "555-7001" not in clean[3] and clean[101] is None
     assert pii.pii_report(docs.limit(0)).count() == 0
@@ -557,6 +612,23 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
     assert cp.STAGES[-1][1](spark, docs.limit(0), d).count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    d = f"file://{tmp_path}"
+    spark.createDataFrame([(1, prose(30))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    fields = [("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long")]
+    names = ["_Q", "a.b", "back`tick", "_FIXED", "Doc.Id", "sp ace", "_proposed_", "q.n_words"]
+    schema = T.StructType([*T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in fields)), *[T.StructField(n, T.StringType()) for n in names]])
+    docs = spark.createDataFrame([(i, prose(100 + i), "en", "s", 1, *[f"{n}{i}" for n in names]) for i in range(4)], schema)
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.schema == docs.schema and sorted(tuple(r[5:]) for r in out.collect()) == [tuple(f"{n}{i}" for n in names) for i in range(4)]
+    assert cp.STAGES[-1][1](spark, docs, d).count() == 4
+    assert quality.quality_report(docs, spark.read.parquet(f"{d}/labels.parquet")).count() == pii.pii_report(docs).count() == 4
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline as cp
 
