@@ -88,8 +88,10 @@ def null_if_blank(x: Column) -> Column:
     return F.nullif(strip(x), F.lit(""))
 
 
-def at(now: datetime) -> Column:
-    """A clock is always a literal."""
+def at(now: datetime | Column) -> Column:
+    """A clock is a literal, or a column where rows have clocks of their own."""
+    if isinstance(now, Column):
+        return now
     return F.lit(now).cast("timestamp_ntz") if now.tzinfo is None else F.lit(now.replace(tzinfo=None)).cast("timestamp_ntz")
 
 

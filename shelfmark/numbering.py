@@ -5,10 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: The paths that each application made, so that they can be deleted.
+_PATHS: dict[str, list[str]] = {}
+
+
+def clear_shared(spark: SparkSession, *keep: str) -> None:
+    """Delete what this application wrote below shared paths, but for those in keep; a result that still
+    reads from there must be written before."""
+    paths = _PATHS.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        if path not in keep:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _PATHS[spark.sparkContext.applicationId] = list(keep)
+
+
 def shared_path(df: DataFrame, name: str) -> str:
     """A fresh path below spark.checkpoint.dir; where that is unset, a local master's temporary folder."""
     spark = df.sparkSession
@@ -17,7 +32,16 @@ def shared_path(df: DataFrame, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _PATHS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df from the shared folder: computed once, however often it is read."""
+    path = shared_path(df, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def number_rows(rows: DataFrame, order: list[Column | str], name: str, first: Column | None = None) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import at
 from ..numbering import shared_path
-from ..sources.edges import probe_links
+from ..sources.edges import probe_politely
+from .moves import resolve_moves
 
 THRESHOLD = 3
 
@@ -25,17 +26,17 @@ def active_pages(pages: DataFrame) -> DataFrame:
 
 def apply_probes(pages: DataFrame, probes: DataFrame, now: datetime, threshold: int = THRESHOLD) -> DataFrame:
     """Pages after probes (page_id, http_status, final_url, error), with outcome: healthy, failed,
-    disabled, conflict (the final URL is taken: the page keeps its own) or null if not probed."""
+    disabled, conflict (the final URL is taken: the page keeps its own) or null if not probed. Pages that
+    moved take their URLs in the order of their ids; see resolve_moves."""
     p = probes.select(F.col("page_id").alias("id"), "http_status", "final_url", F.col("error").alias("probe_error"), F.lit(True).alias("_probed"))
     rows = pages.join(p, "id", "left")
     good = F.col("_probed") & healthy(F.col("http_status"), F.col("probe_error"))
     bad = F.col("_probed") & ~healthy(F.col("http_status"), F.col("probe_error"))
     moved = good & (F.coalesce("final_url", "url") != F.col("url"))
     rows = rows.withColumn("_good", F.coalesce(good, F.lit(False))).withColumn("_bad", F.coalesce(bad, F.lit(False))).withColumn("_moved", F.coalesce(moved, F.lit(False)))
-    taken = pages.select(F.col("topic_id").alias("_t"), F.col("url").alias("_u"), F.lit(1).alias("_k")).unionByName(rows.filter("_moved").select(F.col("topic_id").alias("_t"), F.col("final_url").alias("_u"), F.lit(1).alias("_k")))
-    clash = taken.groupBy("_t", "_u").agg(F.count("*").alias("_k")).filter("_k > 1")
-    rows = rows.join(clash, (F.col("topic_id") == F.col("_t")) & (F.col("final_url") == F.col("_u")) & F.col("_moved"), "left")
-    conflict = F.col("_k").isNotNull()
+    got = resolve_moves(pages.select("id", "topic_id", "url"), rows.filter("_moved").select("id", "final_url"))
+    rows = rows.join(got.withColumnRenamed("moved", "_got"), "id", "left")
+    conflict = F.coalesce(~F.col("_got"), F.lit(False))
     failures = F.when(F.col("_bad"), F.col("verification_failures") + 1).when(F.col("_good"), F.lit(0)).otherwise(F.col("verification_failures"))
     off = F.col("_bad") & (failures >= threshold)
     reason = F.coalesce(F.nullif(F.col("probe_error"), F.lit("")), F.concat(F.lit("unexpected status "), F.col("http_status")), F.lit("no response"))
@@ -53,7 +54,7 @@ def apply_probes(pages: DataFrame, probes: DataFrame, now: datetime, threshold:
 def validate(pages: DataFrame, now: datetime, threshold: int = THRESHOLD, probe: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Scan the active pages, probe them, and apply what was found: the pages afterwards, with outcome,
     and the summary. The probes are made once and written, so both results tell of the same answers."""
-    found = (probe or probe_links)(active_pages(pages))
+    found = (probe or probe_politely)(active_pages(pages))
     path = shared_path(pages, "probes")
     found.write.parquet(path)
     after = apply_probes(pages, pages.sparkSession.read.schema(found.schema).parquet(path), now, threshold if threshold > 0 else THRESHOLD)

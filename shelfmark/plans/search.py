@@ -79,9 +79,9 @@ def search_topic(state: State, slug: str, name: str, provider: Provider, reviewe
         if not stored:
             raise NoResults(slug)
     except Exception as e:  # the run's failure is part of the state
-        return State(with_status("failed"), state.pages, ledger.fail_run(runs, run_id, str(e), now), _written(results, held)), e
+        return State(_written(with_status("failed"), []), state.pages, _written(ledger.fail_run(runs, run_id, str(e), now), []), _written(results, held)), e
     finished = ledger.complete_run(runs, run_id, total, stored, now, answer.model, answer.tokens)
-    after = State(with_status("active"), _written(pages, []), finished, _written(results, held))
+    after = State(_written(with_status("active"), []), _written(pages, []), _written(finished, []), _written(results, held))
     return after, None
 
 

@@ -38,6 +38,10 @@ BLOCKED_DOMAINS = ["facebook.com", "github.com", "instagram.com", "news.ycombina
 # Page types that a review may give and the gate refuses.
 REJECTED_PAGE_TYPES = ["api", "landing", "listicle", "resource_list", "social"]
 
+# Page types that a review may give, and the most characters of its reason.
+PAGE_TYPES = ["guide", "tutorial", "concept", "reference", "api", "blog", "listicle", "resource_list", "landing", "social", "other"]
+REASON_LENGTH = 240
+
 
 @dataclass(frozen=True)
 class Options:

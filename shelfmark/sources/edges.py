@@ -8,6 +8,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import url_host
 from ..schemas import BLOCKED_DOMAINS
 
 SEARCH_ANSWER = "results array<struct<title:string, url:string, content:string, score:double>>, error string"
@@ -67,29 +68,71 @@ def answer_text(answers: DataFrame) -> DataFrame:
     return answers.withColumn("text", F.coalesce(plain, F.trim(F.array_join(texts, "")), F.lit("")))
 
 
+def _probe(url: str | None, timeout: float) -> tuple[int | None, str | None, str]:
+    """Status, final URL and error of one page: HEAD, or GET where HEAD isn't allowed; redirects are followed."""
+    import urllib.error
+    import urllib.request
+
+    for method in ("HEAD", "GET"):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url or "", method=method), timeout=timeout) as r:
+                return r.status, r.url, ""
+        except urllib.error.HTTPError as e:
+            if e.code == 405 and method == "HEAD":
+                continue
+            return e.code, url, ""
+        except Exception as e:  # noqa: BLE001  a probe's failure is its result
+            return None, url, str(e) or type(e).__name__
+    return None, url, "no answer"
+
+
+PROBED = "page_id long, http_status int, final_url string, error string"
+
+
+def _probed(ids, got):
+    import pandas as pd
+
+    return pd.DataFrame({"page_id": ids, "http_status": pd.array([g[0] for g in got], dtype="Int32"), "final_url": [g[1] for g in got], "error": [g[2] for g in got]})
+
+
 def probe_links(pages: DataFrame, timeout: float = 10.0) -> DataFrame:
-    """HEAD each url, GET where HEAD isn't allowed; follows redirects. Runs on the executors."""
+    """The probes of pages (id, url), one after another in each task."""
 
     def run(batches):
-        import urllib.error
-        import urllib.request
-
-        import pandas as pd
-
-        def one(url: str):
-            for method in ("HEAD", "GET"):
-                try:
-                    with urllib.request.urlopen(urllib.request.Request(url, method=method), timeout=timeout) as r:
-                        return r.status, r.url, ""
-                except urllib.error.HTTPError as e:
-                    if e.code == 405 and method == "HEAD":
-                        continue
-                    return e.code, url, ""
-                except Exception as e:  # noqa: BLE001  a probe's failure is its result
-                    return None, url, str(e)
-
         for b in batches:
-            got = [one(u) for u in b["url"]]
-            yield pd.DataFrame({"page_id": b["id"], "http_status": pd.array([g[0] for g in got], dtype="Int32"), "final_url": [g[1] for g in got], "error": [g[2] for g in got]})
+            yield _probed(b["id"], [_probe(u, timeout) for u in b["url"]])
+
+    return pages.select("id", "url").mapInPandas(run, PROBED)
 
-    return pages.select("id", "url").mapInPandas(run, "page_id long, http_status int, final_url string, error string")
+
+def probe_politely(pages: DataFrame, at_once: int = 64, in_flight: int = 8, delay: float = 0.2, timeout: float = 10.0) -> DataFrame:
+    """The probes of pages (id, url), some at once, but never two of one host, and a host's requests start
+    at least `delay` seconds apart. All pages of a host are one task's, so this holds over all tasks: a
+    host's own pages take as long as its delay demands, whatever the cluster's size. at_once bounds the
+    requests in flight over all tasks, in_flight those of one."""
+    width = max(1, min(in_flight, at_once))
+
+    def run(batches):
+        import time
+        from concurrent.futures import ThreadPoolExecutor
+
+        last: dict[str, float] = {}  # when the host was last asked
+
+        def lane(host: str, urls: list) -> list:
+            out = []
+            for u in urls:
+                wait = last.get(host, 0.0) + delay - time.monotonic()
+                if host and wait > 0:
+                    time.sleep(wait)
+                last[host] = time.monotonic()
+                out.append(_probe(u, timeout))
+            return out
+
+        with ThreadPoolExecutor(width) as pool:
+            for b in batches:
+                lanes = list(b.groupby("host", sort=False))  # a host is one lane, and its pages follow one another
+                for (_, rows), got in zip(lanes, pool.map(lambda x: lane(x[0], x[1]["url"].tolist()), lanes), strict=True):
+                    yield _probed(rows["id"], got)
+
+    host = F.coalesce(url_host(F.col("url")), F.lit(""))
+    return pages.select("id", "url", host.alias("host")).repartition(max(1, at_once // width), "host").mapInPandas(run, PROBED)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import BLOCKED_DOMAINS, REJECTED_PAGE_TYPES, CatalogError
+from ..schemas import BLOCKED_DOMAINS, PAGE_TYPES, REASON_LENGTH, REJECTED_PAGE_TYPES, CatalogError
 from .edges import SEARCH_FIELDS, Answer, answer_text, decode_results, decode_reviews
 
 #: url, headers, body and timeout to status and text.
@@ -33,19 +33,29 @@ def post(url: str, headers: dict[str, str], body: bytes, timeout: float) -> tupl
         raise ServiceError(f"no answer from {url}: {e}") from e
 
 
+def read_answer(service: str, status: int | None, text: str) -> tuple[dict, str]:
+    """A service's answer, which must be a JSON object, and what is wrong with it, if anything."""
+    try:
+        answer = json.loads(text)
+    except ValueError as e:
+        return {}, f"the {service} service's answer can't be read: {e}"
+    if not isinstance(answer, dict):
+        return {}, f"the {service} service's answer is no object"
+    if not 200 <= (status or 0) < 300:
+        told = answer.get("error") or ""
+        told = told.get("message", "") if isinstance(told, dict) else told
+        return {}, f"the {service} service failed: status {status}" + (f", {told}" if told else "")
+    return answer, ""
+
+
 def _asked(service: str, send: Post, endpoint: str, key: str, body: dict, timeout: float) -> tuple[str, dict]:
     if not key.strip():
         raise ServiceError(f"the {service} service needs a key")
     headers = {"Content-Type": "application/json", "Authorization": f"Bearer {key.strip()}"}
     status, text = send(endpoint, headers, json.dumps(body).encode(), timeout)
-    try:
-        answer = json.loads(text)
-    except ValueError as e:
-        raise ServiceError(f"the {service} service's answer can't be read: {e}") from e
-    if not 200 <= status < 300:
-        error = answer.get("error") or ""
-        said = error.get("message", "") if isinstance(error, dict) else error
-        raise ServiceError(f"the {service} service failed: status {status}" + (f", {said}" if said else ""))
+    answer, error = read_answer(service, status, text)
+    if error:
+        raise ServiceError(error)
     return text, answer
 
 
@@ -75,7 +85,7 @@ PROMPT = (
 
 def review_body(topic: str, candidates: list[dict], model: str, prompt: str = PROMPT) -> dict:
     """The request of a review, with the schema that its answer must have."""
-    kinds = {"index": {"type": "integer"}, "score": {"type": "integer", "minimum": 0, "maximum": 100}, "page_type": {"type": "string"}, "should_store": {"type": "boolean"}, "reason": {"type": "string"}}
+    kinds = {"index": {"type": "integer"}, "score": {"type": "integer", "minimum": 0, "maximum": 100}, "page_type": {"type": "string", "enum": PAGE_TYPES}, "should_store": {"type": "boolean"}, "reason": {"type": "string", "maxLength": REASON_LENGTH}}
 
     def strict(properties: dict) -> dict:
         return {"type": "object", "properties": properties, "required": list(properties), "additionalProperties": False}
