@@ -3,9 +3,9 @@
 Parser events of the standard library become lines, one for each block of text, with the tags seen
 around it. Lines that a menu, header, footer, sidebar, notice, advert, form, script, style or reader
 comments hold, by tag, role, class or id, go. The ratio of text outside links to tags of each line is
-smoothed by a Gaussian, and two-means on its logarithm tells content from the rest. The content
-lines' text votes for the element that holds the article: one that is named so, or else the deepest
-with most of it, widened to a heading and to content beside it. In that element content lines and
+smoothed by a Gaussian, and two-means on its logarithm tells content from the rest. The region is the
+element with the greatest share of the content less its share of the rest; the name of an article adds
+a vote to that and decides nothing alone. It is widened to a heading beside it. In it content lines and
 headings stay; a line with a low ratio goes if links make it up, and, in an element that isn't named
 as the article, unless it is a paragraph, list item or cell in line with content. So short paragraphs
 stay. The time grows with the number of tags, however deep they are, and with
@@ -172,6 +172,10 @@ class _Lines(HTMLParser):
                 self.link_chars += len(data.strip())
 
 
+#: What an element's name adds to its share of the content, and what the share of other text takes off.
+VOTES, REST = {"article": 0.25, "main": 0.1}, 0.5
+
+
 def smoothed(ratio: np.ndarray, sigma: float = 1.5) -> np.ndarray:
     """Gaussian smoothing; the ends are held."""
     r = int(np.ceil(3 * sigma))
@@ -232,20 +236,17 @@ def main_text(html: str | None) -> str:
     content = (score >= threshold(score)) & ~loose
     mass = summed((x[3], s) for (x, _), s, c in zip(usable, size, content, strict=True) if c)
     whole = summed((x[3], s) for (x, _), s in zip(usable, size, strict=True))
-    named = [i for i in range(1, n) if tag[i] in _MAIN and whole[i]]
-    enough = [i for i in named if mass[i] >= 0.3 * mass[0]]
-    if enough:
-        best = max(mass[i] for i in enough)
-        close = [i for i in enough if mass[i] >= 0.8 * best]
-        chosen = max((i for i in close if tag[i] == "article"), default=max(close))
-    elif len(named) == 1:
-        chosen = named[0]
-    else:
-        named = []
-        chosen = max((i for i in range(1, n) if tag[i] in _BLOCKS and tag[i] not in _LEAVES and mass[i] >= 0.7 * mass[0]), default=0)
-        # the heading and the content lines beside the element that has most of them belong to it
-        while chosen and tag[parent[chosen]] not in ("", "html") and (mass[parent[chosen]] > mass[chosen] or heads[parent[chosen]] > heads[chosen] == 0):
-            chosen = parent[chosen]
+    # the region that the clusters choose: most of the content, little of the rest; a name only votes
+    total, all_text = max(mass[0], 1.0), max(whole[0], 1.0)
+
+    def worth(i: int) -> float:
+        return mass[i] / total - REST * (whole[i] - mass[i]) / all_text + VOTES.get(tag[i], 0.0)
+
+    chosen = max((i for i in range(1, n) if tag[i] in _BLOCKS and tag[i] not in _LEAVES and tag[i] not in _HEADS and mass[i]), key=lambda i: (worth(i), i), default=0)
+    named = tag[chosen] in _MAIN
+    # the heading beside the region belongs to it
+    while not named and chosen and tag[parent[chosen]] not in ("", "html") and heads[parent[chosen]] > heads[chosen] == 0:
+        chosen = parent[chosen]
     inside, beside = [False] * n, set()
     inside[chosen] = True
     for i in range(chosen + 1, n):

@@ -457,6 +457,26 @@ def test_html_is_linear_in_tags():
     assert [html.main_text(p) for p in pages[:3]][:2] == ["", ""] and all(isinstance(html.main_text(p), str) for p in pages)
 
 
+def test_html_region_by_clusters(monkeypatch):
+    """No element says what it is: the ratios find the text, and without the clusters it isn't found."""
+    own = random.Random(9)
+    right = wrong = 0
+    for _ in range(40):
+        paras = [prose(own.randrange(25, 80)) for _ in range(own.randrange(3, 8))]
+        links = lambda k: "".join(f"<div><a href=/{i}>{prose(2)}</a></div>" for i in range(k))  # noqa: E731, B023
+        body = "".join(f"<p>{p}</p>" for p in paras)
+        page = f"<html><body><div><div>{links(own.randrange(6, 15))}</div><div><h1>{paras[0][:20]} one</h1>{body}</div><div>{links(own.randrange(4, 12))}</div></div></body></html>"
+        want = "\n\n".join([" ".join(f"{paras[0][:20]} one".split()), *paras])
+        right += html.main_text(page) == want
+        with monkeypatch.context() as m:
+            m.setattr(html, "threshold", lambda v: -1.0)
+            wrong += html.main_text(page) != want
+    assert right >= 39 and wrong == 40
+    # a vote doesn't outweigh the text: a teaser that is called an article beside the text that isn't
+    page = f"<body><article><p>{prose(12)}</p></article><div><h2>Title</h2>{''.join(f'<p>{prose(60)}</p>' for _ in range(6))}</div></body>"
+    assert "Title" in html.main_text(page)
+
+
 def test_html():
     page = "<html><head><title>t</title><script>x='<p>no</p>'</script></head><body class=has-sidebar><nav><a href=x>m</a></nav><article><h1>Head &amp; more</h1><p>First   para\ngraph &eacute;.<p>Second<br>one.<div class='comments'><p>a reader</p></div></article><aside>no</aside><footer>f</footer>"
     assert html.main_text(page) == "Head & more\n\nFirst para graph é.\n\nSecond one."
