@@ -144,7 +144,8 @@ def _open(uri: str):
 
 def write_tokens(docs: DataFrame, path: str, vocab: str, end_id: int, segment: int = 8 << 20) -> DataFrame:
     """Write the files; returns part, segment, file, n_docs, n_tokens for each. path must be on storage
-    that all executors share; a file appears under its name only when it is whole."""
+    that all executors share. Each attempt of a task gives its files names of their own, so a repeated task
+    meets nothing of a lost one; only the files that the rows name count."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -156,12 +157,11 @@ def write_tokens(docs: DataFrame, path: str, vocab: str, end_id: int, segment: i
         size = 0
 
         def flush() -> pa.RecordBatch:
-            name = f"{part:06d}-{number:06d}.pfr"
+            name = f"{part:06d}-{number:06d}-{uuid.uuid4().hex}.pfr"
             data = encode_file(np.array(keys, np.int64), np.array([len(x) // 4 for x in blobs], np.uint32), np.frombuffer(b"".join(blobs), "<u4"))
             where.create_dir(root, recursive=True)
-            with where.open_output_stream(trial := f"{root}/.{name}-{uuid.uuid4().hex}") as f:
+            with where.open_output_stream(f"{root}/{name}") as f:
                 f.write(data)
-            where.move(trial, f"{root}/{name}")
             row = [[part], [number], [name], [len(keys)], [size]]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part", "segment", "file", "n_docs", "n_tokens"])
 
