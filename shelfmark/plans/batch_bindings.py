@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import admission, candidates, catalog, ledger, links, review
+from ..operators import admission, candidates, catalog, constraints, ledger, links, review
 from ..schemas import IMPORTS, PAGES, PROBES, RESULTS, REVIEWS, RUNS, Options
 from ..sources.edges import encode_requests
 from ..sources.search_source import ROWS
@@ -205,3 +205,41 @@ SELECT topic, candidate_index AS index, title, url, host AS source, rank, {B._ST
 def review_request_texts(spark, d):
     rows = candidates.normalize_results(B.page_results(spark, d), B.BLOCKED).withColumn("source", F.col("host"))
     return review.requests(rows).select("topic", "index", "title", "url", "source", "rank", "snippet")
+
+
+# ---- the declared rules, over tables with faults
+
+
+def _faulty(spark, d) -> dict[str, DataFrame]:
+    now = S.at(B.NOW)
+    fill = lambda df, schema: df.select(*[F.col(n) if n in df.columns else (now if t == "timestamp_ntz" else F.lit({"string": "x", "boolean": True}.get(t, 0)).cast(t)).alias(n) for n, t in (f.split() for f in schema.split(", "))])
+    k, o = F.col("p_partkey"), F.col("o_orderkey")
+    t = B.topics(spark, d).withColumn("status", F.when(F.col("id") % 50 == 0, "asleep").otherwise(F.col("status"))).withColumn("name", F.when(F.col("id") % 40 != 0, F.col("name")))
+    pages = T(spark, d, "part").select(k.alias("id"), F.when(k % 30 != 0, F.col("p_size").cast("long")).alias("topic_id"), F.concat(F.lit("u"), F.floor(k / 2).cast("string")).alias("url"), k.cast("int").alias("reading_order"))
+    reads = T(spark, d, "orders").select(o.alias("id"), F.col("o_custkey").alias("topic_id"), F.to_date("o_orderdate").alias("reading_date"), (F.pmod(o, F.lit(250)) * 9 + 1).alias("page_id"))
+    return {"topics": t, "pages": fill(pages, PAGES), "daily_readings": reads.withColumn("created_at", now)}
+
+
+_FAULTY = f"""{B._TOPICS}, t AS (SELECT id, slug, CASE WHEN id % 40 <> 0 THEN name END AS name, CASE WHEN id % 50 = 0 THEN 'asleep' ELSE status END AS status FROM topics),
+p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 30 <> 0 THEN p_size END AS topic_id, 'u' || (p_partkey // 2) AS url FROM part),
+r AS (SELECT o_orderkey AS id, o_custkey AS topic_id, CAST(o_orderdate AS DATE) AS reading_date, (o_orderkey % 250) * 9 + 1 AS page_id FROM orders)"""
+
+
+@query(f"""WITH {_FAULTY}
+SELECT 'topics' AS "table", 'name is required' AS rule, CAST(id AS VARCHAR) AS key, CAST(1 AS BIGINT) AS n FROM t WHERE name IS NULL
+UNION ALL SELECT 'topics', 'status is none of the allowed', CAST(id AS VARCHAR), 1 FROM t WHERE status = 'asleep'
+UNION ALL SELECT 'pages', 'topic_id is required', CAST(id AS VARCHAR), 1 FROM p WHERE topic_id IS NULL
+UNION ALL SELECT 'pages', 'topic_id, url is a key', topic_id || ',' || url, count(*) FROM p WHERE topic_id IS NOT NULL GROUP BY topic_id, url HAVING count(*) > 1
+UNION ALL SELECT 'daily_readings', 'topic_id, reading_date is a key', topic_id || ',' || reading_date, count(*) FROM r GROUP BY topic_id, reading_date HAVING count(*) > 1
+UNION ALL SELECT 'daily_readings', 'page_id refers to pages', CAST(page_id AS VARCHAR), count(*) FROM r WHERE page_id NOT IN (SELECT id FROM p) GROUP BY page_id
+UNION ALL SELECT 'pages', 'topic_id refers to topics', CAST(topic_id AS VARCHAR), count(*) FROM p WHERE topic_id NOT IN (SELECT id FROM t) GROUP BY topic_id""")
+def constraint_violations(spark, d):
+    return constraints.violations(_faulty(spark, d))
+
+
+@query(f"""WITH {_FAULTY}, gone_t AS (SELECT id FROM t WHERE id % 7 = 0), gone_p AS (SELECT id FROM p WHERE topic_id IN (SELECT id FROM gone_t))
+SELECT 'daily_readings' AS "table", id, 'page_id' AS "column", 'pages' AS parent, page_id AS parent_id FROM r WHERE topic_id NOT IN (SELECT id FROM gone_t) AND page_id IN (SELECT id FROM gone_p)""")
+def restricted_delete(spark, d):
+    """The readings that hold a page of a topic that should go, and stay themselves."""
+    tables = _faulty(spark, d)
+    return constraints.deleted(tables, "topics", tables["topics"].filter("id % 7 = 0"))[1]
