@@ -18,12 +18,12 @@ def last_of(delta: DataFrame, keys: list[str], order: str) -> DataFrame:
     return delta.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def upsert(state: DataFrame, delta: DataFrame, keys: list[str], insert: dict[str, Column], update: dict[str, Column], new_id: str = "id", order: list[str] | None = None) -> DataFrame:
+def upsert(state: DataFrame, delta: DataFrame, keys: list[str], insert: dict[str, Column], update: dict[str, Column], new_id: str = "id", order: list[str] | None = None, above: int = 0) -> DataFrame:
     """State after delta. insert and update give column expressions over o.* (state) and d.* (delta); a
-    column that update lacks is kept. New rows get ids after the greatest, in the order of the keys, or of
-    `order` (columns of delta) and then the keys."""
+    column that update lacks is kept. New rows get ids after the greatest of state and `above` (where state
+    is a part of a table), in the order of the keys, or of `order` (columns of delta) and then the keys."""
     delta = unique(delta, keys)
-    top = state.agg(F.coalesce(F.max(new_id), F.lit(0)).alias("_top"))
+    top = state.agg(F.greatest(F.coalesce(F.max(new_id), F.lit(0)), F.lit(above)).alias("_top"))
     fresh = number_rows(delta.join(state.select(*keys), keys, "left_anti"), [*(order or []), *keys], "_n").crossJoin(F.broadcast(top)).alias("d")  # top is one row
     kinds = dict(state.dtypes)
     kept = state.alias("o").join(delta.withColumn("_touched", F.lit(True)).alias("d"), [F.col(f"o.{k}") == F.col(f"d.{k}") for k in keys], "left")
@@ -63,10 +63,10 @@ def ensure_topics(topics: DataFrame, delta: DataFrame, now: datetime) -> DataFra
     return upsert(topics, delta, ["slug"], _topic_insert(F.lit("queued"), now), {"name": name, "updated_at": at(now)})
 
 
-def put_topics(topics: DataFrame, delta: DataFrame, now: datetime | Column, order: list[str] | None = None) -> DataFrame:
+def put_topics(topics: DataFrame, delta: DataFrame, now: datetime | Column, order: list[str] | None = None, above: int = 0) -> DataFrame:
     """delta: slug, name, status. As ensure_topics, and the status is set."""
     name = F.when(F.col("o.name") == F.col("o.slug"), F.col("d.name")).otherwise(F.col("o.name"))
-    return upsert(topics, delta, ["slug"], _topic_insert(F.col("d.status"), now), {"name": name, "status": F.col("d.status"), "updated_at": at(now)}, order=order)
+    return upsert(topics, delta, ["slug"], _topic_insert(F.col("d.status"), now), {"name": name, "status": F.col("d.status"), "updated_at": at(now)}, order=order, above=above)
 
 
 def import_topics(topics: DataFrame, delta: DataFrame, now: datetime) -> DataFrame:
@@ -75,11 +75,11 @@ def import_topics(topics: DataFrame, delta: DataFrame, now: datetime) -> DataFra
     return upsert(topics, delta, ["slug"], new, {"name": F.col("d.name"), "description": F.col("d.description"), "status": F.lit("active")})
 
 
-def put_search_pages(pages: DataFrame, delta: DataFrame, now: datetime | Column, order: list[str] | None = None) -> DataFrame:
+def put_search_pages(pages: DataFrame, delta: DataFrame, now: datetime | Column, order: list[str] | None = None, above: int = 0) -> DataFrame:
     """delta: topic_id, url, title, source, reading_order, search_run_id. A known page keeps its place,
     its metadata and its failures, and is active again."""
     new = {"official": F.lit(False), "active": F.lit(True), "discovered_at": at(now), "verification_failures": F.lit(0), "last_error": F.lit(""), "created_at": at(now), "updated_at": at(now)}
-    return upsert(pages, delta, ["topic_id", "url"], new, {"title": F.col("d.title"), "source": F.col("d.source"), "active": F.lit(True), "search_run_id": F.col("d.search_run_id"), "updated_at": at(now)}, order=order)
+    return upsert(pages, delta, ["topic_id", "url"], new, {"title": F.col("d.title"), "source": F.col("d.source"), "active": F.lit(True), "search_run_id": F.col("d.search_run_id"), "updated_at": at(now)}, order=order, above=above)
 
 
 _META = ["title", "source", "official", "estimated_minutes", "difficulty", "evergreen_score", "reading_order"]
@@ -106,17 +106,17 @@ def deactivate_omitted(pages: DataFrame, kept: DataFrame, now: datetime) -> Data
     return rows.withColumn("active", F.col("active") & ~gone).withColumn("updated_at", F.when(gone, at(now)).otherwise(F.col("updated_at"))).select(*pages.columns)
 
 
-def put_candidates(results: DataFrame, delta: DataFrame, now: datetime | Column, order: list[str] | None = None) -> DataFrame:
+def put_candidates(results: DataFrame, delta: DataFrame, now: datetime | Column, order: list[str] | None = None, above: int = 0) -> DataFrame:
     """delta: topic_id, url, search_run_id, title, source, snippet, rank. A known URL loses its review."""
     blank = {"stored_as_page_id": F.lit(None), "reviewer_score": F.lit(None), "page_type": F.lit(""), "reviewer_reason": F.lit(""), "accepted": F.lit(False)}
     taken = {c: F.col(f"d.{c}") for c in ("search_run_id", "title", "source", "snippet", "rank")}
-    return upsert(results, delta, ["topic_id", "url"], blank | {"created_at": at(now)}, taken | blank, order=order)
+    return upsert(results, delta, ["topic_id", "url"], blank | {"created_at": at(now)}, taken | blank, order=order, above=above)
 
 
-def put_reviewed(results: DataFrame, delta: DataFrame, now: datetime | Column, order: list[str] | None = None) -> DataFrame:
+def put_reviewed(results: DataFrame, delta: DataFrame, now: datetime | Column, order: list[str] | None = None, above: int = 0) -> DataFrame:
     """delta: as put_candidates, with the review fields and stored_as_page_id."""
     names = ("search_run_id", "title", "source", "snippet", "rank", "stored_as_page_id", "reviewer_score", "page_type", "reviewer_reason", "accepted")
-    return upsert(results, delta, ["topic_id", "url"], {"created_at": at(now)}, {c: F.col(f"d.{c}") for c in names}, order=order)
+    return upsert(results, delta, ["topic_id", "url"], {"created_at": at(now)}, {c: F.col(f"d.{c}") for c in names}, order=order, above=above)
 
 
 def seed_pages(seed: DataFrame) -> DataFrame:

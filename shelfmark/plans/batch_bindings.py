@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import admission, candidates, catalog, constraints, ledger, links, review
 from ..schemas import IMPORTS, PAGES, PROBES, RESULTS, REVIEWS, RUNS, Options
+from ..numbering import shared_path
+from ..sources import buckets
 from ..sources.edges import encode_requests
 from ..sources.search_source import ROWS
 from . import bindings as B
@@ -243,3 +245,18 @@ def restricted_delete(spark, d):
     """The readings that hold a page of a topic that should go, and stay themselves."""
     tables = _faulty(spark, d)
     return constraints.deleted(tables, "topics", tables["topics"].filter("id % 7 = 0"))[1]
+
+
+# ---- an upsert into a snapshot in parts
+
+
+@query(B.ORACLES["upsert_page_search"])
+def upsert_in_parts(spark, d):
+    """As upsert_page_search, by way of a written snapshot of which only the touched parts are rewritten."""
+    stored, delta = B.stored_pages(spark, d), B.page_delta(spark, d)
+    path = shared_path(stored, "parts")
+    kinds = dict(f.split() for f in PAGES.split(", "))
+    first = buckets.save_parts({"pages": stored.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()])}, path, 16)
+    put = lambda now, top: {"pages": catalog.put_search_pages(now["pages"], delta, B.NOW, above=top["pages"])}
+    second = buckets.change_parts(spark, path, first, {"pages": delta.select("topic_id")}, put)
+    return buckets.read_parts(spark, second, "pages").select("id", "topic_id", "title", "url", "reading_order", "active", "verification_failures")
