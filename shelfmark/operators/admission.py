@@ -14,6 +14,7 @@ key's blocks.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from datetime import timedelta
 
 import numpy as np
@@ -30,6 +31,33 @@ def admitted(queue: DataFrame, used: DataFrame, limit: int, by: list[str], order
     return queue.withColumn("place", place).join(used.select(*by, "n_runs"), by, "left").withColumn("admitted", F.col("place") <= left).drop("n_runs")
 
 
+def by_group(rows: DataFrame, keys: list[str], order: str, fold: Callable[[dict[str, np.ndarray]], Iterator[tuple]], schema: str) -> DataFrame:
+    """The rows that fold makes of each group's columns, in order. The groups of a task follow one another
+    sorted, so that many small ones cost no more than a large one; a task holds one group and one batch."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+
+        def folded(b: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
+            columns = {c: b[c].to_numpy() for c in b.columns}
+            out = [r for lo, hi in zip(edges[:-1], edges[1:], strict=True) for r in fold({c: v[lo:hi] for c, v in columns.items()})]
+            return pd.DataFrame(out, columns=names)
+
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            if len(b):
+                starts = np.flatnonzero(np.logical_or.reduce([b[k].to_numpy()[1:] != b[k].to_numpy()[:-1] for k in keys])) + 1
+                edges = np.concatenate([[0], starts])
+                if len(edges) > 1:
+                    yield folded(b, edges)
+                rest = b.iloc[edges[-1] :]  # its group may go on
+        if rest is not None and len(rest):
+            yield folded(rest, np.array([0, len(rest)]))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+
+
 def _next(times: np.ndarray, interval: int) -> np.ndarray:
     """Of each time the place of the first one no sooner than interval later."""
     return np.searchsorted(times, times + interval, side="left")
@@ -45,13 +73,13 @@ def block_exits(times: np.ndarray, entries: int, interval: int) -> np.ndarray:
     return out[:entries]
 
 
-def block_admits(times: np.ndarray, since: int, interval: int) -> np.ndarray:
-    """The admitted times of a block in which a request is admissible from `since` on."""
+def block_admits(times: np.ndarray, since: int, interval: int) -> list[int]:
+    """The places of the admitted times of a block in which a request is admissible from `since` on."""
     follow, at, out = _next(times, interval), int(np.searchsorted(times, since, side="left")), []
     while at < len(times):
         out.append(at)
         at = int(follow[at])
-    return times[out]
+    return out
 
 
 def replay(requests: DataFrame, interval: timedelta, by: list[str] | None = None, at: str = "started_at", id: str = "id", block: timedelta | None = None) -> DataFrame:
@@ -70,33 +98,31 @@ def replay(requests: DataFrame, interval: timedelta, by: list[str] | None = None
     times = rows.filter("_at is not null").groupBy("_key", "_at").agg(F.min(id).alias("_id"))
     times = times.withColumn("_block", F.call_function("div", F.col("_at") - F.pmod("_at", F.lit(width)), F.lit(width)))
 
-    def exits(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(group["_at"].to_numpy(np.int64))
+    def exits(of: dict[str, np.ndarray]) -> Iterator[tuple]:
+        t, key, place = of["_at"], of["_key"][0], int(of["_block"][0])
         # an entry lies within the first interval of the block; any later time is entered as the first after it
-        entries = min(len(t), int(np.searchsorted(t, key[1] * width + step, side="left")) + 1)
+        entries = min(len(t), int(np.searchsorted(t, place * width + step, side="left")) + 1)
         leave = block_exits(t, entries, step)
         # entries that leave alike are one step, known by its last time
         last = np.flatnonzero(np.append(leave[1:] != leave[:-1], True))
-        return pd.DataFrame({"_key": [key[0]], "_block": [key[1]], "_upto": [t[:entries][last].tolist()], "_leave": [leave[last].tolist()]})
+        yield key, place, t[:entries][last].tolist(), leave[last].tolist()
 
-    steps = times.groupBy("_key", "_block").applyInPandas(exits, "_key string, _block long, _upto array<bigint>, _leave array<bigint>")
+    steps = by_group(times, ["_key", "_block"], "_at", exits, "_key string, _block long, _upto array<bigint>, _leave array<bigint>")
 
-    def entered(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group, since, out = group.sort_values("_block"), -(2**62), []
-        for upto, leave in zip(group["_upto"], group["_leave"], strict=True):
-            out.append(since)
+    def entered(of: dict[str, np.ndarray]) -> Iterator[tuple]:
+        since = -(2**62)
+        for place, upto, leave in zip(of["_block"], of["_upto"], of["_leave"], strict=True):
+            yield of["_key"][0], int(place), since
             at = int(np.searchsorted(np.asarray(upto), since, side="left"))
             if at < len(upto):
                 since = int(leave[at])
-        return pd.DataFrame({"_key": key[0], "_block": group["_block"].to_numpy(), "_since": out})
 
-    since = steps.groupBy("_key").applyInPandas(entered, "_key string, _block long, _since long")
+    since = by_group(steps, ["_key"], "_block", entered, "_key string, _block long, _since long")
 
-    def admits(key: tuple, group: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_at")
-        kept = block_admits(group["_at"].to_numpy(np.int64), int(start["_since"].iloc[0]), step) if len(group) else []
-        return group[group["_at"].isin(kept)][["_key", "_at", "_id"]]
+    def admits(of: dict[str, np.ndarray]) -> Iterator[tuple]:
+        for at in block_admits(of["_at"], int(of["_since"][0]), step):
+            yield of["_key"][0], int(of["_at"][at]), int(of["_id"][at])
 
-    hits = times.groupBy("_key", "_block").cogroup(since.groupBy("_key", "_block")).applyInPandas(admits, "_key string, _at long, _id long")
+    hits = by_group(times.join(since, ["_key", "_block"]), ["_key", "_block"], "_at", admits, "_key string, _at long, _id long")
     out = rows.join(hits.withColumnRenamed("_id", "_hit"), ["_key", "_at"], "left")
     return out.select(*requests.columns, F.coalesce(F.col(id) == F.col("_hit"), F.lit(False)).alias("admitted"))
