@@ -11,12 +11,15 @@ split by a hash for this first look, with some members repeated in each part as
 Candidates are confirmed on the full shingle sets. First the likeliest candidate of each class is
 confirmed and components are formed, then its others between components; then the regions are gone
 through again, and all members of different components are compared by signature and confirmed in
-place, neighbours or not, whatever the region's size: a large one is dealt into blocks, and every block
-is held against every other, but for two blocks of one component. A region gives only the links that
-join components, fewer than its members. So a link is lost only if its ends meet in no tree or their
-signatures agree in fewer than LEAST values: at a similarity of 0.75 either has a chance below 1 in
-50,000. Components come from alternating large-star and small-star steps on tables in the shared
-folder; nothing is collected.
+place, neighbours or not. The members of the regions that are too large for that meet by their rare
+shingles instead, which loses none of their pairs and grows with their number and not with its square
+where they are less alike than asked (see rare_groups); only if very many documents of different
+components share the same rare shingles is that group dealt into blocks, every block held against
+every other, but for two blocks of one component. A group gives only the links that join components,
+fewer than its members. So a link is lost only if its ends meet in no tree or their signatures agree
+in fewer than LEAST values: at a similarity of 0.75 either has a chance below 1 in 50,000. Components
+come from alternating large-star and small-star steps on tables in the shared folder; nothing is
+collected.
 
 Edge cases: a null, empty or blank text has the empty set and is linked with nothing; under five words
 the whole sequence is the one shingle; a null doc_id is linked with nothing and kept; rows that share a
@@ -27,6 +30,7 @@ ignored by near_duplicates, and returned by near_dedup whatever their names.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,6 +50,8 @@ REGION, BRIDGES = 2048, 16
 NEAREST = 3
 #: Values that candidates agree in: 48 on average at a similarity of 0.75, under 30 in one of 2.6 million.
 LEAST = 30
+#: Parts that the documents of a common shingle are dealt into while shingles are counted.
+SALTS = 16
 #: Shingles whose sets are held at once while the candidates of a region are confirmed.
 SLICE = 4_000_000
 
@@ -267,11 +273,103 @@ def _joining(least: int, percent: int):
     return run
 
 
+def _steps(grows: float = 1.05, most: int = 1 << 40) -> list[int]:
+    """The least size of each size class."""
+    out = [1]
+    while out[-1] < most:
+        out.append(max(out[-1] + 1, int(out[-1] * grows)))
+    return out
+
+
+SIZES = _steps()
+
+
+def _shared(a: int, b: int, percent: int) -> int:
+    """How many shingles sets of a and b shingles must share."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, root, text to a row for each shingle."""
+    for b in batches:
+        for doc, root, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            t = signed(shingles(text))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), doc, np.int64)), pa.array(np.full(len(t), root, np.int64)), pa.array(t)], ["doc_id", "root", "token"])
+
+
+def _prefix_keys(percent: int):
+    """doc_id, root, n and the live tokens in order to the groups that the document enters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for doc, root, n, live in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                t = np.array(live, np.int64).view(np.uint64)
+                least = -(-percent * n // 100)
+                own, first, last = (bisect_right(SIZES, x) - 1 for x in (n, least, 100 * n // percent))
+                for c in range(first, last + 1):
+                    share = _shared(n, max(SIZES[c], least), percent)
+                    # those that no other component holds come first in the order, and meet nobody
+                    some = len(t) - share + 1
+                    if some > 0:
+                        lo, hi = min(own, c), max(own, c)
+                        k = mix64(t[:some] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(lo * len(SIZES) + hi))
+                        out.append((doc, root, own, lo != hi, k))
+            if out:
+                size = [len(o[4]) for o in out]
+                cols = [np.repeat(np.array([o[i] for o in out]), size) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([o[4] for o in out]))), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.bool_())], ["key", "doc_id", "root", "size", "two"])
+
+    return run
+
+
+def rare_groups(members: DataFrame, sigs: DataFrame, texts: Callable[[DataFrame], DataFrame], percent: int = 75) -> DataFrame:
+    """doc_id and root of members to groups (key, doc_id, root) that hold every similar pair of members of
+    different components.
+
+    Shingles are put in one order: first those held by one component only, then by how many members hold
+    them. Sets that must share s of their shingles share one of the first n - s + 1 of either (prefix
+    filter), and s is known but for the partner's size, so a member enters groups for each size class its
+    partner may be of. Members that owe more of their shingles to themselves than a similar pair can
+    have enter no group: a family that is less alike than asked makes none, whatever its size. Groups
+    with the same members, and those without two components or two sizes to meet, go."""
+    held = members.join(texts(members.select("doc_id")), "doc_id").select("doc_id", "root", "text")
+    tokens = stage(held.mapInArrow(_tokens, "doc_id long, root long, token long"), "tokens").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    # a common shingle's documents are counted, and told the count, in SALTS parts
+    some = tokens.groupBy("token", "salt").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    live = some.groupBy("token").agg(F.sum("n").alias("df"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list("salt").alias("salts")).filter("lo <> hi")
+    known = live.select("token", "df", F.explode("salts").alias("salt"))
+    met = tokens.join(known.hint("merge"), ["token", "salt"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("live"))
+    rows = members.join(met, "doc_id").join(sigs.select("doc_id", "n"), "doc_id").select("doc_id", "root", "n", F.col("live.token").alias("live"))
+    keyed = stage(rows.mapInArrow(_prefix_keys(percent), "key long, doc_id long, root long, size int, two boolean"), "prefixes")
+    of_key = keyed.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("size").alias("small"), F.max("size").alias("large"), F.first("two").alias("two"),
+        F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"),
+    )
+    kept = of_key.filter("lo <> hi and (not two or small <> large)").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    return stage(keyed.join(kept.hint("merge"), "key", "left_semi").select("key", "doc_id", "root"), "rare")
+
+
+def _mixed(named: DataFrame) -> DataFrame:
+    """key and n of the groups with several components."""
+    return named.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", "n")
+
+
+def _groups(named: DataFrame, sigs: DataFrame, texts: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """The parts (see _blocks) of the regions that are small enough, and of the groups that the members of the others make."""
+    mixed = _mixed(named)
+    large = stage(named.join(mixed.filter(F.col("n") > REGION), "key", "left_semi").select("doc_id", "root").distinct(), "large")
+    small = named.join(mixed.filter(F.col("n") <= REGION), "key", "left_semi").select("key", F.lit(0).cast("long").alias("part"), F.lit(-1).alias("side"), "doc_id", "root")
+    if not large.limit(1).count():
+        return small
+    return small.unionByName(_blocks(rare_groups(large, sigs, texts, percent)))
+
+
 def _blocks(named: DataFrame) -> DataFrame:
-    """key, doc_id and root of regions to key, part, side, doc_id, root: a region of at most REGION members
+    """key, doc_id and root of groups to key, part, side, doc_id, root: a group of at most REGION members
     is one part; the members of a larger one are dealt into blocks, those of a large component into blocks
     of its own, and a part is one block (side -1) or two (sides 0 and 1). Two of one component make no part."""
-    mixed = named.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", "n")
+    mixed = _mixed(named)
     small = named.join(mixed.filter(F.col("n") <= REGION), "key", "left_semi").select("key", F.lit(0).cast("long").alias("part"), F.lit(-1).alias("side"), "doc_id", "root")
     large = stage(named.join(mixed.filter(F.col("n") > REGION), "key", "left_semi").select("key", "doc_id", "root"), "large")
     if not large.limit(1).count():
@@ -297,7 +395,7 @@ def links_between(regions: DataFrame, sigs: DataFrame, roots: DataFrame, texts:
     texts (doc_id, text) of given doc_ids."""
     parts = parallelism(sigs.sparkSession)
     named = regions.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    rows = _blocks(named).join(sigs, "doc_id").select("key", "part", "doc_id", "root", "side", "n", "sig")
+    rows = _groups(named, sigs, texts, percent).join(sigs, "doc_id").select("key", "part", "doc_id", "root", "side", "n", "sig")
     rows = rows.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "doc_id")
     members = stage(rows.mapInArrow(_open(least, percent, weight), "key long, part long, slice int, doc_id long, root long, side long"), "open")
     full = members.join(sigs, "doc_id").join(texts(members.select("doc_id").distinct()), "doc_id").select("key", "part", "slice", "doc_id", "root", "side", "sig", "text")

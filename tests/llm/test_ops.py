@@ -185,6 +185,52 @@ def test_large_regions_against_brute_force(spark, monkeypatch):
     assert max(map(len, held.values())) < 20 and len(rows) < len(name) ** 2
 
 
+def rare(spark, texts, root):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sigs = neardup.signatures(docs).selectExpr("doc_id", "sig", "n_shingles n")
+    members = spark.createDataFrame([(i, root(i)) for i in range(len(texts))], "doc_id long, root long")
+    groups = {}
+    for r in neardup.rare_groups(members, sigs, lambda ids: docs.join(ids, "doc_id")).collect():
+        groups.setdefault(r["key"], []).append((r["doc_id"], r["root"]))
+    return groups
+
+
+@pytest.mark.parametrize("step", [1, 2, 7])
+def test_rare_groups_hold_every_similar_pair(spark, step):
+    """Sizes and similarities of all kinds; of step documents each one is a component."""
+    bases = [prose(n).split() for n in (6, 30, 150, 200)]
+    texts = [edited(b, min(len(b), rng.randint(0, 6))) for b in bases for _ in range(40)]
+    texts += [" ".join(bases[3][: rng.randint(100, 200)]) for _ in range(40)] + ["a b", "a b c d e f", "a b c d e f"]
+    sets = [set(neardup.shingles(t).tolist()) for t in texts]
+    groups = rare(spark, texts, lambda i: i // step)
+    together = {(a, b) for g in groups.values() for a, _ in g for b, _ in g if a < b}
+    near = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if a // step != b // step and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert near <= together and len(near) > 300
+    assert all(len({r for _, r in g}) > 1 for g in groups.values())
+
+
+def test_rare_groups_of_a_loose_family(spark):
+    """A family of similarity about 0.6 makes next to no groups, a close pair inside it makes one."""
+    own, base = random.Random(4), prose(200).split()
+
+    def member(i):
+        w = list(base)
+        for k in range(10, 200, 20):
+            w[k] = f"own{i}x{own.random()}"
+        return w
+
+    def rows(n):
+        texts = [member(i) for i in range(n)]
+        texts += [[*texts[0][:-1], "other"]]
+        sets = [set(neardup.shingles(" ".join(t)).tolist()) for t in texts]
+        assert all(0.5 < len(sets[1] & s) / len(sets[1] | s) < 0.7 for s in sets[2:n])
+        groups = rare(spark, [" ".join(t) for t in texts], lambda i: i)
+        assert any({0, n} <= {d for d, _ in g} for g in groups.values())
+        return sum(map(len, groups.values()))
+
+    assert rows(400) <= 40 and rows(1600) <= 40
+
+
 def brute_components(rows):
     """The least doc_id that each one reaches, over all pairs of texts and over shared ids."""
     sets = []
