@@ -33,7 +33,12 @@ def admitted(queue: DataFrame, used: DataFrame, limit: int, by: list[str], order
 
 def by_group(rows: DataFrame, keys: list[str], order: str, fold: Callable[[dict[str, np.ndarray]], Iterator[tuple]], schema: str) -> DataFrame:
     """The rows that fold makes of each group's columns, in order. The groups of a task follow one another
-    sorted, so that many small ones cost no more than a large one; a task holds one group and one batch."""
+    sorted, so that many small ones cost no more than a large one; a task holds one group and one batch.
+
+    The places come from a window, as it demands that a group is whole in its task. A repartition by the
+    keys demands nothing: after a join by the same keys it is left out, and where the join turns out to be
+    a broadcast one at run time, its input is then read by map outputs and the groups are torn."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,15 +52,14 @@ def by_group(rows: DataFrame, keys: list[str], order: str, fold: Callable[[dict[
         for b in batches:
             b = b if rest is None else pd.concat([rest, b], ignore_index=True)
             if len(b):
-                starts = np.flatnonzero(np.logical_or.reduce([b[k].to_numpy()[1:] != b[k].to_numpy()[:-1] for k in keys])) + 1
-                edges = np.concatenate([[0], starts])
+                edges = np.flatnonzero(b["_place"].to_numpy() == 1)
                 if len(edges) > 1:
                     yield folded(b, edges)
                 rest = b.iloc[edges[-1] :]  # its group may go on
         if rest is not None and len(rest):
             yield folded(rest, np.array([0, len(rest)]))
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+    return rows.withColumn("_place", place).mapInPandas(run, schema)
 
 
 def _next(times: np.ndarray, interval: int) -> np.ndarray:

@@ -42,6 +42,22 @@ def test_replay_against_one_by_one(spark, seconds, spread, block):
         assert admission.replay(df, timedelta(0)).filter("admitted").count() == len(rows) - 1
 
 
+def test_replay_holds_blocks_together(spark):
+    # as in a large ledger: that the blocks' entries are few is seen at run time only, and several tasks read the times
+    own, start, interval = random.Random(7), datetime(2024, 1, 1), timedelta(minutes=5)
+    rows = [(own.randrange(20), start + timedelta(seconds=own.randrange(40_000)), i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "user long, started_at timestamp_ntz, id long").repartition(4)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "16KB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = [r["id"] for r in admission.replay(df, interval, ["user"]).collect() if r["admitted"]]
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert sorted(got) == sorted(one_by_one(rows, interval))
+
+
 def test_admitted_by_day(spark):
     rows = [(f"d{i % 3}", i) for i in range(20)]
     used = spark.createDataFrame([("d0", 3), ("d2", 9)], "day string, n_runs long")
