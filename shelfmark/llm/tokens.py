@@ -36,7 +36,13 @@ def _odd(t: str) -> bool:
 
 #: Letters whose lower case depends on their neighbours or has two letters.
 _CASES = re.compile("[Σİẞŉǰΐΰ]|'")
-_STOPS = re.compile(r"(?<=[a-z])([.,])(?=[ \n]|$)")
+#: A stop or comma that ends a word; patterns that begin with the mark itself are searched for many times faster.
+_STOP, _COMMA = re.compile(r"\.(?=[ \n]|$)(?<=[a-z]\.)"), re.compile(r",(?=[ \n]|$)(?<=[a-z],)")
+
+
+def cut_stops(t: str) -> str:
+    """A lower-case text with a blank before each stop or comma that ends a word."""
+    return _COMMA.sub(" ,", _STOP.sub(" .", t))
 
 
 #: Fixed value: the pattern by which a lower-casing public vocabulary parts a text.
@@ -146,13 +152,18 @@ class UnitTokenizer:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _merged(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
     def _unit(self, unit: str) -> bytes:
+        if self.parts and unit.isascii() and unit.isalpha() and unit.islower():
+            return self._merged(unit)  # one part under either pattern, its bytes written as themselves
         found = self.parts and self.parts.fullmatch(unit)
         parts = [p for p in found.groups() if p] if found else []
         if len(parts) > 1:
             return b"".join(map(self.seen.__getitem__, parts))
         if parts:
-            return array("I", [t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
+            return self._merged(unit.encode().decode("latin-1").translate(_LETTERS))
         return array("I", self.tok.encode(unit, add_special_tokens=False).ids).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -164,7 +175,7 @@ class UnitTokenizer:
                 out.append(self._encode([t])[0])
             else:
                 if self.folds and not _CASES.search(t) and (t.isascii() or unicodedata.is_normalized("NFC", t)):
-                    units = _STOPS.sub(r" \1", t.lower()).split()
+                    units = cut_stops(t.lower()).split()
                 else:
                     units = t.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
                 if self.seen.n_bytes > self.most:
