@@ -15,6 +15,13 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
+def strip_plain(x: Column) -> Column:
+    """As strip; a text that begins and ends with a visible ASCII character is taken as it is. x is read
+    several times, so it should be a column as it stands."""
+    bare = F.substring(x, 1, 1).between("!", "~") & F.substring(x, -1, 1).between("!", "~")
+    return F.when(bare, x).otherwise(strip(x))
+
+
 def slugify(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(strip(x)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
@@ -34,22 +41,43 @@ def query_text(name: Column) -> Column:
     return F.concat(name, F.lit(QUERY_SUFFIX))
 
 
-def url_scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(strip(url), _URL, 1))
+def _part(url: Column, trimmed: bool, n: int) -> Column:
+    return F.regexp_extract(url if trimmed else strip(url), _URL, n)
+
+
+def url_scheme(url: Column, trimmed: bool = False) -> Column:
+    return F.lower(_part(url, trimmed, 1))
+
+
+def url_authority(url: Column, trimmed: bool = False) -> Column:
+    return _part(url, trimmed, 2)
 
 
-def url_host(url: Column) -> Column:
+def host_of(authority: Column) -> Column:
+    return F.regexp_replace(authority, "^.*@", "")
+
+
+def login_of(authority: Column) -> Column:
+    return F.regexp_extract(authority, "^.*@", 0)
+
+
+def url_host(url: Column, trimmed: bool = False) -> Column:
     """Host with its port, without a user part, in lower case; empty for a URL that isn't absolute."""
-    return F.lower(F.regexp_replace(F.regexp_extract(strip(url), _URL, 2), "^.*@", ""))
+    return F.lower(host_of(url_authority(url, trimmed)))
 
 
 def url_login(url: Column) -> Column:
     """The user part with its @, as it is written."""
-    return F.regexp_extract(F.regexp_extract(strip(url), _URL, 2), "^.*@", 0)
+    return login_of(url_authority(url))
+
+
+def url_path(url: Column, trimmed: bool = False) -> Column:
+    return _part(url, trimmed, 3)
 
 
-def url_path(url: Column) -> Column:
-    return F.regexp_extract(strip(url), _URL, 3)
+def normal_path(path: Column) -> Column:
+    """Without trailing slashes, but for the root's."""
+    return F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
 
 
 def url_valid(url: Column) -> Column:
@@ -59,9 +87,7 @@ def url_valid(url: Column) -> Column:
 def normalize_url(url: Column) -> Column:
     """Scheme and host in lower case, no query, fragment or trailing slash but for the root's;
     a user part stays; null if invalid."""
-    path = url_path(url)
-    tail = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
-    return F.when(url_valid(url), F.concat(url_scheme(url), F.lit("://"), url_login(url), url_host(url), tail))
+    return F.when(url_valid(url), F.concat(url_scheme(url), F.lit("://"), url_login(url), url_host(url), normal_path(url_path(url))))
 
 
 def bare_host(host: Column) -> Column:
@@ -70,7 +96,7 @@ def bare_host(host: Column) -> Column:
 
 def truncate_bytes(x: Column, n: int) -> Column:
     """Trim, cut at n bytes of UTF-8, trim; what is left of a split character is replaced."""
-    cut = F.substring(F.encode(strip(x), "UTF-8"), 1, n)
+    cut = F.substring(F.encode(strip_plain(x), "UTF-8"), 1, n)
     return strip(F.make_valid_utf8(cut.cast("string")))
 
 

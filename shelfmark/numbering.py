@@ -63,3 +63,13 @@ def number_rows(rows: DataFrame, order: list[Column | str], name: str, first: Co
     offsets = spark.createDataFrame(before, "_part int, _before long")
     number = (F.lit(1) if first is None else first) - 1 + F.col("_before") + own
     return dealt.join(F.broadcast(offsets), "_part").withColumn(name, number.cast("long")).drop("_part", "_before", *keys)
+
+
+def number_in_groups(rows: DataFrame, group: str, order: list[Column | str], name: str) -> DataFrame:
+    """As number_rows in the order of group and then `order`, where rows have few groups and a task can sort
+    one of them: rows are dealt once, by group, and nothing is written. A group's number is the count of the
+    groups before it, one short row a group."""
+    earlier = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_size")).select(group, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return rows.withColumn("_own", own).join(F.broadcast(sizes), group).withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_own", "_before")

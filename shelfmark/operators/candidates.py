@@ -2,28 +2,43 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bare_host, normalize_url, strip, url_host, url_path, url_valid
+from ..functions.scalars import bare_host, host_of, login_of, normal_path, strip_plain, url_authority, url_path, url_scheme
 from ..functions.scoring import interest
 from ..schemas import BLOCKED_DOMAINS
 
 
+def _parsed(results: DataFrame) -> DataFrame:
+    """Rows with a title and an http(s) URL, with the URL's parts; without a host the URL is none.
+
+    A filter is evaluated where the rows are read, with all that it refers to written out in it, so this one
+    refers to what is read. Each part is taken once, from the trimmed URL."""
+    kept = results.filter(F.col("title").rlike(r"(?U)\S") & F.col("url").rlike(r"(?U)^\s*[hH][tT][tT][pP][sS]?://[^/?#]"))
+    rows = kept.withColumn("title", strip_plain(F.col("title"))).withColumn("snippet", F.coalesce("snippet", F.lit(""))).withColumn("snippet", strip_plain(F.col("snippet"))).withColumn("_link", strip_plain(F.col("url")))
+    rows = rows.withColumns({"_scheme": url_scheme(F.col("_link"), True), "_authority": url_authority(F.col("_link"), True), "_path": url_path(F.col("_link"), True)})
+    user = F.col("_authority").contains("@")
+    rows = rows.withColumns({"_login": F.when(user, login_of(F.col("_authority"))).otherwise(""), "host": F.lower(F.when(user, host_of(F.col("_authority"))).otherwise(F.col("_authority"))), "_path": normal_path(F.col("_path"))})
+    return rows.withColumn("url", F.concat("_scheme", F.lit("://"), "_login", "host", "_path")).withColumn("rank", (F.col("position") + 1).cast("int")).drop("_link", "_scheme", "_authority", "_login")
+
+
 def usable(results: DataFrame) -> DataFrame:
     """Rows with a title and an absolute http(s) URL, trimmed; rank is the provider's 1-based position."""
-    kept = results.withColumn("title", strip(F.col("title"))).withColumn("snippet", strip(F.coalesce("snippet", F.lit("")))).filter((F.col("title") != "") & (strip(F.col("url")) != "") & url_valid(F.col("url")))
-    return kept.withColumn("host", url_host(F.col("url"))).withColumn("url", normalize_url(F.col("url"))).withColumn("rank", (F.col("position") + 1).cast("int"))
+    return _parsed(results).filter("host <> ''").drop("_path")
 
 
 def blocked(host: Column, url: Column, domains: list[str] | None = None) -> Column:
     """A blocked domain or one below it, or a PDF. The host keeps its port."""
-    bare = bare_host(host)
+    return _blocked(host, url_path(url), domains)
+
+
+def _blocked(host: Column, path: Column, domains: list[str] | None) -> Column:
     domains = BLOCKED_DOMAINS if domains is None else domains
-    below = reduce(lambda a, b: a | b, [bare.endswith("." + d) for d in domains], F.lit(False))
-    return bare.isin(domains) | below | F.lower(url_path(url)).endswith(".pdf")
+    own = bare_host(host).rlike(r"(?:^|\.)(?:" + "|".join(map(re.escape, domains)) + r")\z") if domains else F.lit(False)
+    return own | F.lower(path).rlike(r"(?U)\.pdf\s*\z")
 
 
 def first_occurrences(rows: DataFrame) -> DataFrame:
@@ -34,8 +49,9 @@ def first_occurrences(rows: DataFrame) -> DataFrame:
 
 def normalize_results(results: DataFrame, domains: list[str] | None = None) -> DataFrame:
     """Candidates with score, in ranked order within each topic (candidate_index)."""
-    rows = usable(results)
-    rows = first_occurrences(rows.filter(~blocked(F.col("host"), F.col("url"), domains)))
+    # equal URLs have equal parts, so that their first row can be taken before these are looked at
+    rows = first_occurrences(_parsed(results))
+    rows = rows.filter((F.col("host") != "") & ~_blocked(F.col("host"), F.col("_path"), domains)).drop("_path")
     scored = rows.withColumn("score", interest(F.col("title"), F.col("url"), F.col("snippet"), F.col("host"), F.col("provider_score")))
     best = Window.partitionBy("topic").orderBy(F.desc("score"), F.asc("rank"))
     return scored.withColumn("candidate_index", F.row_number().over(best))

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bare_host, sanitize_ascii, strip, truncate_bytes, url_host, url_path
+from ..functions.scalars import bare_host, sanitize_ascii, strip_plain, truncate_bytes, url_host, url_path
 from ..schemas import REJECTED_PAGE_TYPES
 
 
 def rejected_type(page_type: Column) -> Column:
-    return strip(F.lower(page_type)).isin(REJECTED_PAGE_TYPES)
+    return F.lower(strip_plain(page_type)).isin(REJECTED_PAGE_TYPES)
 
 
 def broad_url(url: Column) -> Column:
     """A site's front page, or a book's or course's entrance."""
-    host, path = bare_host(url_host(url)), F.regexp_replace(F.lower(url_path(url)), "^/+|/+$", "")
+    link = strip_plain(url)
+    host, path = bare_host(url_host(link, True)), F.regexp_replace(F.lower(url_path(link, True)), "^/+|/+$", "")
     # Entrances by host.
     return (path == "") | ((host == "doc.rust-lang.org") & ((path == "book") | path.endswith("/book"))) | ((host == "rust-lang.org") & (path == "learn"))
 
@@ -36,7 +37,7 @@ def reviewed(candidates: DataFrame, reviews: DataFrame, min_score: int = 65) ->
     judged twice both rows stay."""
     rows = candidates.drop("score").withColumnRenamed("candidate_index", "index").join(reviews, ["topic", "index"])
     rows = rows.withColumn("accepted", passes(F.col("should_store"), F.col("score"), F.col("page_type"), F.col("url"), min_score))
-    rows = rows.withColumn("page_type", strip(F.col("page_type")))
+    rows = rows.withColumn("page_type", strip_plain(F.col("page_type")))
     rows = rows.withColumn("reviewer_reason", sanitize_ascii(truncate_bytes(F.col("reason"), 500))).drop("reason")
     order = Window.partitionBy("topic").orderBy(F.desc("accepted"), F.desc("score"), F.asc("rank"), F.asc("review_position"))
     return rows.withColumn("review_order", F.row_number().over(order))

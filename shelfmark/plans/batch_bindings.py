@@ -114,9 +114,10 @@ def _queue(spark, d):
 
     class Provider:
         def search_all(self, queries, most):
-            own = queries.join(B.topics(spark, d).select(F.col("slug").alias("topic"), F.col("id").alias("_k")), "topic")
+            own = F.broadcast(queries.withColumnRenamed("topic_id", "_k"))
             bad, none = F.col("_k") % 17 == 0, F.col("_k") % 19 == 0
-            part = T(spark, d, "part")
+            # a small file that becomes many rows: dealt to all cores first
+            part = T(spark, d, "part").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
             place = F.floor(F.col("p_partkey") / 100).cast("int")
             url = F.concat(F.lit("https://docs.example.org/guide/p"), (place - F.when(place % 5 == 4, 1).otherwise(0)).cast("string"))
             hits = own.filter(~bad & ~none).join(part, F.col("_k") % 100 == F.col("p_partkey") % 100).select("topic", "query", place.alias("position"), F.col("p_name").alias("title"), url.alias("url"), F.col("p_type").alias("snippet"), ((F.col("p_size") % 10) / 10.0).alias("provider_score"), F.lit(1).alias("attempts"), F.lit("").alias("error"))
@@ -125,7 +126,7 @@ def _queue(spark, d):
 
     class Reviewer:
         def review_all(self, asked):
-            own = asked.withColumn("_k", F.regexp_extract("topic", "([0-9]+)$", 1).cast("long"))
+            own = asked.withColumnRenamed("topic_id", "_k")
             made = {"review_position": F.col("index"), "score": (F.col("index") * 37) % 101, "page_type": F.when(F.col("index") % 7 == 0, "listicle").otherwise("guide"), "should_store": F.col("index") % 5 != 0, "reason": F.lit("ok")}
             given = own.filter("_k % 23 <> 0").select(*[made.get(f.split()[0], F.col(f.split()[0])).alias(f.split()[0]) for f in REVIEWS.split(", ")])
             told = own.groupBy("topic", "_k").agg(F.count("*").alias("n")).select("topic", F.lit("m").alias("model"), F.col("n").cast("int").alias("input_tokens"), F.lit(1).alias("output_tokens"), (F.col("n") + 1).cast("int").alias("total_tokens"), F.when(F.col("_k") % 23 == 0, "refused").otherwise("").alias("error"))

@@ -216,6 +216,51 @@ def test_queue_limits(spark):
     assert [(r["place"], r["started"].day) for r in outcome.orderBy("place").collect()] == [(1, 15), (2, 16), (3, 16), (4, 16)]
 
 
+def test_queue_knows_topics_by_id(spark):
+    """Topics that share a slug are each asked, stored and settled once, and don't multiply one another."""
+    from shelfmark.sources.search_source import ROWS
+
+    class ById:
+        def search_all(self, queries, most):
+            asked = queries.collect()
+            assert len(asked) == len({r["topic"] for r in asked}) == 6
+            rows = [(r["topic"], r["query"], i, f"Guide {i}", f"https://docs.example.org/{r['topic_id']}/a/{i}", "", 0.5, 1, "") for r in asked if r["topic_id"] != 5 for i in range(r["topic_id"])]
+            lost = [(r["topic"], r["query"], None, None, None, None, None, 1, "no answer") for r in asked if r["topic_id"] == 5]
+            return spark.createDataFrame(rows + lost, ROWS)
+
+    class Judge:
+        def review_all(self, asked):
+            ids = {r["topic"]: r["topic_id"] for r in asked.collect()}
+            reviews = [(r["topic"], r["index"], r["index"], 90, "guide", r["index"] != 2, "ok") for r in asked.collect()]
+            told = [(t, "m", i, 0, 0, 1, "") for t, i in ids.items()]
+            return spark.createDataFrame(reviews, schemas.REVIEWS), spark.createDataFrame(told, "topic string, model string, input_tokens int, output_tokens int, total_tokens int, attempts int, error string")
+
+    state = queued(spark, 6)
+    state = State(state.topics.withColumn("slug", F.when(F.col("id") < 6, "t-1").otherwise(F.col("slug"))), state.pages, state.runs, state.results)
+    after, outcome, error = process_queue(state, ById(), Judge(), NOW, schemas.Options(max_results=3, min_interval=timedelta(0)))
+    assert error is None
+    want = {i: ("failed", "t-1", 0, 0, "no answer") if i == 5 else ("completed", "t-1" if i < 6 else "t-6", i, min(3, i - (i > 1)), "") for i in range(1, 7)}
+    assert {r["topic_id"]: (r["status"], r["slug"], r["total"], r["stored"], r["error"]) for r in outcome.collect()} == want
+    assert {r["id"]: r["status"] for r in after.topics.collect()} == {i: "failed" if i == 5 else "active" for i in want}
+    got = sorted((r["topic_id"], r["url"]) for r in after.results.collect())
+    assert got == sorted((i, f"https://docs.example.org/{i}/a/{k}") for i in want if i != 5 for k in range(i))
+    place = {r["topic_id"]: r["place"] for r in outcome.collect()}
+    numbered = [(place[r["topic_id"]], r["topic_id"], r["url"]) for r in after.results.orderBy("id").collect()]
+    assert numbered == sorted(numbered) and [r["id"] for r in after.results.orderBy("id").collect()] == list(range(1, len(numbered) + 1))
+
+
+def test_queue_counts_later_runs_only(spark):
+    """A day's runs are those that started on it or later, as they stand in the ledger."""
+    from shelfmark.plans.queue import admissions
+
+    state = queued(spark, 6)
+    one = state.runs.first().asDict()
+    made = [one | {"id": i, "status": s, "started_at": t} for i, (s, t) in enumerate([("completed", NOW - timedelta(days=1)), ("completed", NOW), ("rate_limited", NOW), ("failed", NOW + timedelta(days=1)), ("completed", NOW + timedelta(days=2))], 1)]
+    runs = spark.createDataFrame(made, state.runs.schema)
+    fits = lambda limit: admissions(state.topics, runs, NOW, schemas.Options(daily_limit=limit, min_interval=timedelta(0)), 10).count()
+    assert [fits(n) for n in (3, 4, 6, 20)] == [0, 1, 3, 6]
+
+
 # ---- publishing
 
 

@@ -283,3 +283,36 @@ def test_numbers_of_many_partitions(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit("x").alias("v")).repartition(7)
     assert [(r["k"], r["n"]) for r in number_rows(rows, ["k"], "n", F.lit(5)).collect() if r["n"] != r["k"] + 5] == []
     assert number_rows(rows.limit(0), ["k"], "n").count() == 0
+
+
+def test_numbers_in_groups(spark):
+    from shelfmark.numbering import number_in_groups, number_rows
+
+    rows = spark.range(500).select((F.col("id") * 7 % 11).alias("g"), (F.col("id") * 37 % 500).alias("k"))
+    took = lambda df: sorted((r["g"], r["k"], r["n"]) for r in df.collect())
+    assert took(number_in_groups(rows, "g", ["k"], "n")) == took(number_rows(rows, ["g", "k"], "n"))
+    assert number_in_groups(rows.limit(0), "g", ["k"], "n").count() == 0
+
+
+def test_parts_of_odd_urls(spark):
+    """The URL's parts, each taken once, are those of the plain functions; what is blocked before the first
+    rows are taken is blocked after."""
+    from shelfmark.functions import scalars as S
+    from shelfmark.operators import candidates
+
+    urls = ["HTTP://WWW.Example.COM/A.PDF?x=1#y", " https://h.example.com/a.pdf /", "\u00a0https://Me:pw@Ex.org/In/", "https://me@/a", "https:// ", "https://h //", "https://a@b@C/x//", "ftp://a.b/c", "x https://a/b",
+            "http\u017f://a/b", "https://", "https://?a", "https://a\nb@C/d", "https://facebook.com", "https://x.facebook.com:80/a", "https://notfacebook.com/a", "https://www.facebook.com/a/", "", None, "https://a/b.pdf\n", "https://a/pdf", "HTTPS://a/\u00e9/ "]
+    rows = spark.createDataFrame([("t", i, f" Guide {i}\t" if i % 7 else "Guide", u, None if i % 2 else "\u00a0learn ", 0.5) for i, u in enumerate(urls)] + [("t", 99, " \u00a0", "https://a/z", "", 0.5)], "topic string, position int, title string, url string, snippet string, provider_score double")
+    plain = rows.filter(S.url_valid(F.col("url")) & (S.strip(F.col("title")) != "")).select("position", S.strip(F.col("title")).alias("title"), S.strip(F.coalesce("snippet", F.lit(""))).alias("snippet"), S.url_host(F.col("url")).alias("host"), S.normalize_url(F.col("url")).alias("url"))
+    took = lambda df: sorted(tuple(r) for r in df.collect())
+    assert took(candidates.usable(rows).select(*plain.columns)) == took(plain) and plain.count() > 10
+    bare = F.regexp_replace(F.col("host"), r"^www\.", "")
+    for domains in (None, ["c", "example.com"], []):
+        from shelfmark.schemas import BLOCKED_DOMAINS
+
+        known = BLOCKED_DOMAINS if domains is None else domains
+        hit = F.lower(S.url_path(F.col("url"))).endswith(".pdf")
+        for d in known:
+            hit = hit | (bare == d) | bare.endswith("." + d)
+        want = candidates.first_occurrences(plain.filter(~hit).withColumn("topic", F.lit("t"))).select("position", "url")
+        assert took(candidates.normalize_results(rows, domains).select("position", "url")) == took(want)
